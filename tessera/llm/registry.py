@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
