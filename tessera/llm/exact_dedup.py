@@ -93,7 +93,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, block_bytes: int = 4096, k
     norm = normalised(text_or_empty(text))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(norm).alias("row_hash"), F.char_length(text_or_empty(text)).cast("long").alias("chars"), F.sha2(norm, 256).alias("sha"))
     whole = rows.join(ids, rows.k.eqNullSafe(ids.k) & (rows.row_hash == ids.row_hash)).select(rows.k, "chars", "sha", "n_blocks", "name")
+    # Both sides of the last join are written tables, so that adaptive execution can split a group with very many copies.
+    whole = scratch.keep(whole, "rows")
     groups = whole.groupBy("n_blocks", "name").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("k").isNull().alias("z"), F.col("k").alias("k"))).alias("best"), F.count("*").alias("size"))
+    groups = scratch.keep(groups, "groups")
     return whole.join(groups, ["n_blocks", "name"]).select(
         F.col("k").alias(key), F.col("best.k").alias("keep_id"), F.col("size").alias("group_size"), (F.col("k").eqNullSafe(F.col("best.k")) & (F.col("chars") == -F.col("best.c"))).alias("kept"), F.col("sha").alias("text_sha256"), F.col("chars").alias("n_chars")
     )
