@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, secret_scan, simhash, toxicity, url_filter
+from . import decontamination, exact_dedup, html_text, packing, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_secret_scan": secret_scan.op8_secret_scan,

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,11 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit(_gather(labelled_sample(docs, labels, label, rows, key, text)))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, held_out, score, predicted (1 from a score of 0.5).
-
-    Null text counts as empty and gets the model's base rate. Keys may be null or repeat. Other columns are not read.
-    """
+def score_column(model: Model, text: str = "text") -> Column:
+    """The score of a text column; null counts as empty and gets the model's base rate."""
 
     @F.pandas_udf(T.DoubleType())
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -169,7 +166,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             yield pd.Series(model.score(list(batch), cache))
 
-    out = docs.select(F.col(key).alias("k"), held_out(key).alias("held_out"), of(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("score"))
+    return of(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, held_out, score, predicted (1 from a score of 0.5).
+
+    Null text counts as empty. Keys may be null or repeat. Other columns are not read.
+    """
+    out = docs.select(F.col(key).alias("k"), held_out(key).alias("held_out"), score_column(model, text).alias("score"))
     return out.select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
