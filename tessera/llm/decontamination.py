@@ -186,18 +186,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
 def clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no item occurs. Null and empty texts stay."""
     for items in _blocks(benchmark.select(F.lit(0).alias("i"), F.col(item_text).alias("t")), "i", "t", block_bytes):
-
-        def of(batches: Iterator[pd.Series], items: list = items) -> Iterator[pd.Series]:
-            index = Items(items, edit_rate)
-            for batch in batches:
-                yield pd.Series([bool(index.search(t)) for t in batch], dtype=bool)
-
-        docs = docs.where(~F.pandas_udf("boolean")(_typed(of))(text_or_empty(text)))
+        docs = docs.where(~_contains(items, edit_rate)(text_or_empty(text)))
     return docs
 
 
-def _typed(of):  # annotations as objects, which pandas_udf reads
-    of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+def _contains(items: list[tuple[object, str]], edit_rate: float):
+    @F.pandas_udf("boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Items(items, edit_rate)
+        for batch in batches:
+            yield pd.Series([bool(index.search(t)) for t in batch], dtype=bool)
+
     return of
 
 
