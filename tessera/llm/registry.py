@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, packing, quality, secret_scan, simhash, toxicity, url_filter
+from . import decontamination, exact_dedup, html_text, packing, quality, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
