@@ -12,6 +12,7 @@ sequence by binary search in the plan. No group is gathered, so a length that a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,6 +35,24 @@ CACHED_CHUNKS = 800_000
 # ---- tokens
 
 
+#: Letters a-z and, in UTF-8, ß to ÿ.
+_PLAIN_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_names() -> dict[int, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones of Latin-1 as they are, others from 256 on."""
+    names, spare = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            names[byte] = byte
+        else:
+            names[byte], spare = spare, spare + 1
+    return names
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class Tokens(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of chunks between white space of ASCII.
 
@@ -45,6 +64,7 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHED_CHUNKS:
@@ -53,8 +73,13 @@ class Tokens(dict):
             # A mark after a letter is split off by the vocabulary, and the word alone is often known.
             ids = self[chunk] = self[chunk[:-1]] + self[chunk[-1:]]
             return ids
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        if _PLAIN_WORD.fullmatch(chunk):
+            # One word of lower-case letters that normalisation leaves as they are: the merges alone give its ids.
+            ids = [token.id for token in self.model.tokenize(chunk.decode("latin-1").translate(_BYTE_NAMES))]
+        else:
+            ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self[chunk] = packed = np.array(ids, "<u4").tobytes()
+        return packed
 
     def ids(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
