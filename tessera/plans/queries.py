@@ -402,3 +402,76 @@ def question_lookup(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     last = orders.agg(F.max_by("o_orderstatus", "o_orderkey").alias("o_orderstatus"), F.max("o_orderkey").alias("o_orderkey")).select("o_orderkey", "o_orderstatus")
     return last.union(orders.where("o_orderkey = 7"))
+
+
+# ---- formats and streams
+
+_NATIONS = "SELECT 'n' || n_nationkey AS id, n_name AS name, n_regionkey::BIGINT AS region, n_nationkey / 4.0 AS share FROM nation"
+
+
+def _nation_documents(spark, d):
+    """One JSON document for each region with its nations as a table."""
+    rows = table(spark, d, "nation").select("n_regionkey", F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region"), (F.col("n_nationkey") / 4.0).alias("share")).alias("n"))
+    docs = rows.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n")).alias("nations"))
+    return docs.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("doc_id"), F.to_json(F.struct("nations")).alias("data"))
+
+
+def _round_trip(fmt: str):
+    @query_of(_NATIONS)
+    def query_(spark, d):
+        from ..sources import tables
+
+        options = {"kind": "Nation"} if fmt == "csv" else {}
+        texts = tables.convert(_nation_documents(spark, d), "json", fmt).select("doc_id", F.col("text").alias("data"))
+        nodes = tables.parse(texts, "nodes", fmt, **options)
+        return tables.typed_view(nodes, "Nation", {"id": "string", "name": "string", "region": "bigint", "share": "double"}).drop("doc_id")
+
+    QUERIES[f"roundtrip_{'canonical' if fmt == 'text' else fmt}"] = QUERIES.pop("query_")
+    SQL[f"roundtrip_{'canonical' if fmt == 'text' else fmt}"] = SQL.pop("query_")
+
+
+for _fmt in ("text", "json", "yaml", "xml", "compact", "csv"):
+    _round_trip(_fmt)
+
+
+def _shared(spark, name: str) -> str:
+    """A new folder that driver and executors share."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
+    return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query_of("SELECT 'Nation' AS type, 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'Region', 'r' || r_regionkey, r_name FROM region")
+def roundtrip_parquet(spark, d):
+    """Nodes to a folder for each type, and back."""
+    from ..sources import tables
+
+    parts = []
+    for kind, name, key, letter in TYPES[:2]:
+        column = F.col("n_name" if kind == "Nation" else "r_name")
+        parts.append(table(spark, d, name).select(F.lit("d").alias("doc_id"), F.lit(kind).alias("type"), F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.create_map(F.lit("name"), infer.cell("string", s=column)).alias("cells")))
+    path = _shared(spark, "nodes")
+    tables.write_parquet(parts[0].union(parts[1]), path)
+    return spark.read.parquet(path).select("type", "id", F.col("cells")["name"]["s"].alias("name"))
+
+
+@query_of("SELECT event_type AS type, count(*)::BIGINT AS count FROM events GROUP BY 1")
+def stream_equals_batch(spark, d):
+    """The events as a stream of files, written by micro-batches, counted like the batch."""
+    path, name = _shared(spark, "events"), f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(name).schema).parquet(f"{name}*")
+    stream.select("event_id", F.col("event_type").alias("type")).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return stats.count_by_type(spark.read.parquet(f"{path}/out"))
+
+
+@query_of("SELECT 'CREATE CONSTRAINT region_id IF NOT EXISTS FOR (n:Region) REQUIRE n._node_id IS UNIQUE' AS statement UNION ALL SELECT 'UNWIND [' || string_agg('{_node_id: ''r' || r_regionkey || ''', name: ''' || r_name || '''}', ', ' ORDER BY r_regionkey) || '] AS row MERGE (n:Region {_node_id: row._node_id}) SET n += row' FROM region")
+def cypher_statements(spark, d):
+    nodes = table(spark, d, "region").select(F.lit("d").alias("doc_id"), F.lit("Region").alias("type"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_regionkey").alias("line"), F.create_map(F.lit("name"), infer.cell("string", s=F.col("r_name"))).alias("cells"))
+    return graph.constraints(nodes).union(graph.node_statements(nodes).select("statement"))
+
+
+@query_of("SELECT role, median FROM (SELECT role, list_sort(list(length(text)))[count(*) // 2 + 1]::DOUBLE AS median FROM conversations GROUP BY 1)")
+def upper_median(spark, d):
+    rows = table(spark, d, "conversations").select("role", F.char_length("text").alias("n"))
+    return stats.selected(rows, ["role"], "n", {"median": "n div 2"})
