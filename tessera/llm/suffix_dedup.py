@@ -18,7 +18,7 @@ Texts are shuffled once, and a second time only for documents that have segments
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ ANCHOR = 32
 DEAL_BYTES = 1 << 20
 DEAL_SEGMENTS = 2000
 _BASE = 0x9E3779B97F4A7C15
-_BATCH = 2 << 20
+_BATCH = 1 << 18
 
 
 # ---- difference-cover suffix array
@@ -171,9 +171,10 @@ def _parts(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
         yield at, data[at : at + step + length - 1]
 
 
-def _batches(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _batches(texts: Iterable[str], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     rows, places, own, size = [], [], [], 0
-    for row, data in enumerate(texts):
+    for row, text in enumerate(texts):
+        data = text.encode("utf-8", "surrogatepass")
         if len(data) < length:
             continue
         for at, part in _parts(data, length):
@@ -192,8 +193,7 @@ def _batches(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[
 def _segment_rows(length: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch["t"]]
-            for rows, places, own in _batches(texts, length):
+            for rows, places, own in _batches(batch["t"], length):
                 owner, anchors, first, many = segments(own, length)
                 whole = np.array([xxhash.xxh3_64_intdigest(own[o][f : f + m + length - 1]) for o, f, m in zip(owner.tolist(), first.tolist(), many.tolist())], np.uint64)
                 row, place = np.array(rows)[owner], np.array(places)[owner]
@@ -224,14 +224,14 @@ def _outcome(data: bytes, starts: np.ndarray, many: np.ndarray, length: int) ->
         kept.update(data[at:b])
         at = e
     kept.update(data[at:])
-    return len(data), int((end - begin).sum()), len(begin), kept.hexdigest(), list(zip(begin.tolist(), end.tolist()))
+    return len(data), int((end - begin).sum()), len(begin), kept.hexdigest(), [[b, e] for b, e in zip(begin.tolist(), end.tolist())]
 
 
-_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>"
+_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs of bytes).
+    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs of bytes, begin and end).
 
     A byte of a text (UTF-8; null counts as empty) is removed if a string of ``length`` bytes that covers it starts at another place too, in the same
     text or another one; strings are judged on the input and matches never cross documents. Repeated rows are copies of each
@@ -240,41 +240,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     scratch = Scratch(spark, "suffix-dedup")
     # A text goes by its hash (x) and its length (y).
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumns({"x": F.xxhash64("t"), "y": F.octet_length("t").cast("long")})
-    found = rows.select("t", "x", "y").mapInPandas(_segment_rows(length), "a long, g long, x long, y long, s long, m long")
+    found = scratch.keep(rows.select("t", "x", "y").mapInPandas(_segment_rows(length), "a long, g long, x long, y long, s long, m long"), "segments")
     anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("n > 1")
     anchors = scratch.keep(anchors.select("a", (F.col("low") != F.col("high")).alias("open")), "anchors")
-    again = scratch.keep(found.join(anchors, "a").select("a", "g", "x", "y", "s", "m", "open"), "again")
-    of_text = again.groupBy("x", "y").agg(F.collect_set(F.struct("s", "m", "a", "g", "open")).alias("own"))
-    of_text = scratch.keep(of_text, "of-text")
-
-    kind = rows.schema["k"].dataType.simpleString()
-    segment = "array<struct<a:long,g:long,s:long,m:long>>"
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for t, x, y, own in zip(batch["t"], batch["x"], batch["y"], batch["own"]):
-                data = t.encode("utf-8", "surrogatepass")
-                own = [] if own is None else own
-                closed = [(o["s"], o["m"]) for o in own if not o["open"]]
-                left = [(o["a"], o["g"], o["s"], o["m"]) for o in own if o["open"]]
-                if left:
-                    out.append((x, y, *[None] * 5, t, [{"begin": s, "end": m} for s, m in closed], [dict(zip("agsm", o)) for o in left]))
-                else:
-                    runs = np.array(closed, np.int64).reshape(-1, 2)
-                    out.append((x, y, *_outcome(data, runs[:, 0], runs[:, 1], length), None, None, None))
-            names = ["x", "y", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "t", "closed", "left"]
-            frame = pd.DataFrame(out, columns=names, dtype=object)
-            frame.insert(0, "k", batch["k"].to_numpy())
-            yield frame
-
-    met = rows.join(of_text, ["x", "y"], "left").select("k", "t", "x", "y", "own")
-    halves = scratch.keep(met.mapInPandas(settle, f"k {kind}, x long, y long, {_RESULT}, t string, closed array<struct<begin:long,end:long>>, left {segment}"), "halves")
-    open_rows = halves.where(F.col("left").isNotNull())
+    again = scratch.keep(found.join(anchors, "a").select("x", "y", "s", "m", F.when(F.col("open"), F.struct("a", "g")).alias("o")).distinct(), "again")
+    scratch.drop([found, anchors])
+    is_open = F.col("o").isNotNull()
+    of_text = again.groupBy("x", "y").agg(
+        F.array_sort(F.collect_list(F.when(~is_open, F.struct("s", "m")))).alias("closed"), F.array_sort(F.collect_list(F.when(is_open, F.struct("s", "m", "o.a", "o.g")))).alias("left")
+    )
+    of_text = scratch.keep(of_text.select("x", "y", "left", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("closed", "left") for f in "sm"]), "of-text")
+
+    # Documents without open segments are finished; the others keep their texts for a second look.
+    met = rows.join(of_text, ["x", "y"], "left")
+    closed = F.coalesce(F.size("left"), F.lit(0)) == 0
+    halves = scratch.keep(met.select("k", "x", "y", F.when(~closed, F.col("t")).alias("t"), F.col("closed_s"), F.col("closed_m"), "left", F.when(closed, _outcomes(length)("t", "closed_s", "closed_m")).alias("done")), "halves")
+    open_rows = halves.where(F.col("t").isNotNull())
 
     # Distinct open segments with their bytes.
-    bytes_of = F.encode("t", "UTF-8")
-    pieces = open_rows.select(bytes_of.alias("b"), F.explode("left").alias("o")).select("o.a", "o.g", "o.m", F.substring("b", (F.col("o.s") + 1).cast("int"), (F.col("o.m") + length - 1).cast("int")).alias("b"))
+    pieces = open_rows.select(F.encode("t", "UTF-8").alias("b"), F.explode("left").alias("o")).select("o.a", "o.g", F.substring("b", (F.col("o.s") + 1).cast("int"), (F.col("o.m") + length - 1).cast("int")).alias("b"))
     distinct = scratch.keep(pieces.groupBy("a", "g").agg(F.count("*").alias("n"), F.max("b").alias("b")), "distinct")
     sizes = distinct.groupBy("a").agg(F.count("*").alias("c"))
     crowded = scratch.keep(sizes.where(F.col("c") > DEAL_SEGMENTS).select("a"), "crowded")
@@ -285,33 +269,38 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
         texts = [bytes(b) for b in frame["b"]]
         runs = [_runs(s) if n == 1 else [(0, len(b) - length + 1)] for s, n, b in zip(repeated_starts(texts, length), frame["n"], texts)]
-        return pd.DataFrame({"a": frame["a"], "g": frame["g"], "runs": [[{"s": s, "m": m} for s, m in r] for r in runs]})
+        return pd.DataFrame({"a": frame["a"], "g": frame["g"], "s": [np.array([r[0] for r in own], np.int64) for own in runs], "m": [np.array([r[1] for r in own], np.int64) for own in runs]})
 
-    judged = fair.select("a", "g", "n", "b", F.pmod(F.xxhash64("a"), F.lit(deals)).alias("deal")).groupBy("deal").applyInPandas(judge, "a long, g long, runs array<struct<s:long,m:long>>")
+    judged = fair.select("a", "g", "n", "b", F.pmod(F.xxhash64("a"), F.lit(deals)).alias("deal")).groupBy("deal").applyInPandas(judge, "a long, g long, s array<long>, m array<long>")
     # Strings of crowded anchors, counted one by one.
     strings = distinct.join(crowded, "a", "left_semi").select("a", "g", "n", "b", F.explode(F.sequence(F.lit(0), F.length("b") - length)).alias("o"))
-    strings = strings.select("a", "g", "n", "o", F.substring("b", F.col("o") + 1, F.lit(length)).alias("w"))
+    strings = strings.select("a", "g", "n", F.col("o").cast("long").alias("o"), F.substring("b", F.col("o") + 1, F.lit(length)).alias("w"))
     often = strings.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    counted = strings.join(often, "w", "left_semi").groupBy("a", "g").agg(F.collect_list(F.struct(F.col("o").cast("long").alias("s"), F.lit(1).cast("long").alias("m"))).alias("runs"))
-    results = scratch.keep(judged.union(counted), "results")
+    counted = strings.join(often, "w", "left_semi").groupBy("a", "g").agg(F.collect_list("o").alias("s"))
+    counted = counted.select("a", "g", "s", F.array_repeat(F.lit(1).cast("long"), F.size("s")).alias("m"))
+    results = scratch.keep(judged.union(counted).where(F.size("s") > 0), "results")
+
+    # Starts in their texts, in one list for each text.
+    late = again.where(is_open).select("x", "y", F.col("s").alias("at"), "o.a", "o.g").join(results, ["a", "g"])
+    late = late.groupBy("x", "y").agg(F.flatten(F.collect_list(F.transform("s", lambda s: s + F.col("at")))).alias("late_s"), F.flatten(F.collect_list("m")).alias("late_m"))
+    late = scratch.keep(late, "late")
+    scratch.drop([again, of_text, distinct, crowded, results])
+    none = F.array().cast("array<long>")
+    both = [F.concat(F.coalesce(f"closed_{f}", none), F.coalesce(f"late_{f}", none)) for f in "sm"]
+    finished = open_rows.select("k", "x", "y", "t", "closed_s", "closed_m").join(late, ["x", "y"], "left").select("k", _outcomes(length)("t", *both).alias("done"))
+    out = halves.where(F.col("t").isNull()).select("k", "done").union(finished)
+    return out.select(F.col("k").alias(key), "done.*")
+
+
+def _outcomes(length: int):
+    @F.pandas_udf(_RESULT)
+    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, np.int64)
+        for texts, starts, many in batches:
+            out = [_outcome(t.encode("utf-8", "surrogatepass"), none if s is None else np.asarray(s, np.int64), none if m is None else np.asarray(m, np.int64), length) for t, s, m in zip(texts, starts, many)]
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    own = again.where("open").select("a", "g", "x", "y", "s").distinct().join(results, ["a", "g"]).where(F.size("runs") > 0)
-    late = scratch.keep(own.select("x", "y", F.explode(F.transform("runs", lambda r: F.struct((r["s"] + F.col("s")).alias("begin"), r["m"].alias("end")))).alias("r")).groupBy("x", "y").agg(F.collect_list("r").alias("late")), "late")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for t, closed, late_runs in zip(batch["t"], batch["closed"], batch["late"]):
-                runs = [(r["begin"], r["end"]) for own_runs in (closed, late_runs) if own_runs is not None for r in own_runs]
-                runs = np.array(runs, np.int64).reshape(-1, 2)
-                out.append(_outcome(t.encode("utf-8", "surrogatepass"), runs[:, 0], runs[:, 1], length))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            frame.insert(0, "k", batch["k"].to_numpy())
-            yield frame
-
-    finished = open_rows.select("k", "x", "y", "t", "closed").join(late, ["x", "y"], "left").select("k", "t", "closed", "late").mapInPandas(finish, f"k {kind}, {_RESULT}")
-    done = halves.where(F.col("left").isNull()).select("k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
-    return done.union(finished).withColumnRenamed("k", key)
+    return of
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
