@@ -65,7 +65,7 @@ def inferred_nests(edges: DataFrame) -> DataFrame:
 def attach_children(parents: DataFrame, edges: DataFrame, children: DataFrame, name: str) -> DataFrame:
     """Parents with an array of their children in nesting order. The array is as large as a parent has children."""
     met = edges.join(children.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"), F.struct(*[c for c in children.columns]).alias("child")), ["to_type", "to_id"])
-    own = met.groupBy(F.col("from_type").alias("type"), F.col("from_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nest_order", "child"))), lambda x: x["child"]).alias(name))
+    own = met.groupBy(F.col("from_type").alias("type"), F.col("from_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nest_order", "child")), lambda a, b: (a["nest_order"] - b["nest_order"]).cast("int")), lambda x: x["child"]).alias(name))
     return parents.join(own, ["type", "id"], "left")
 
 

@@ -241,13 +241,13 @@ def _one(v: Column) -> Column:
     return F.when(v.isNotNull(), F.array(v)).otherwise(_none())
 
 
-def _quoted(name: str) -> str:
-    return "$['" + name.replace("'", "\\'") + "']"
-
-
 def _select(v: Column, selector: Any) -> Column:
     if isinstance(selector, Name):
-        return F.when(_is_object(v), _one(F.try_variant_get(v, _quoted(selector.name), "variant"))).otherwise(_none())
+        if re.fullmatch(r"[A-Za-z_]\w*", selector.name):
+            value = F.try_variant_get(v, f"$.{selector.name}", "variant")
+        else:  # a name that the engine's own paths can't write
+            value = F.try_element_at(F.try_variant_get(v, "$", "map<string, variant>"), F.lit(selector.name))
+        return F.when(_is_object(v), _one(value)).otherwise(_none())
     if isinstance(selector, Wild):
         return _members(v)
     items = _elements(v)

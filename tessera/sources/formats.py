@@ -288,7 +288,10 @@ def from_xml(text: str) -> Document:
                 key, only = next(iter(out.items()))
                 if isinstance(only, Tensor) and key == "item":
                     return only
-                if isinstance(only, Table) and not any(n.children for n in only.rows) and singular_type(snake(e.tag)).lower() == singular_type(key).lower():
+                if not isinstance(only, Table) and e.get("type", "").lower() == key.replace("_", "") and key:
+                    only = table(e.get("type"), [only])  # a list with one row, which its type tells
+                    return only
+                if isinstance(only, Table) and singular_type(snake(e.tag)).lower() == singular_type(key).lower():
                     kind = e.get("type") or only.type
                     doc.schemas[kind] = doc.schemas.pop(only.type)
                     only.type = kind
@@ -546,7 +549,7 @@ def from_compact(text: str) -> Document:
                 s = json.loads(s)
             except json.JSONDecodeError:
                 raise DocumentError("Syntax", f"invalid string {s}") from None
-            return parse_ref(s) or (Expr(s[2:-1]) if s.startswith("$(") and s.endswith(")") else s)
+            return special(s)
         if s in ("", "null"):
             return None
         if s in ("true", "false"):
@@ -555,7 +558,10 @@ def from_compact(text: str) -> Document:
         if m:
             return Tensor([float(x) for x in re.split(r"[,|\t]", m[2]) if x])
         number = parse_number(s)
-        return s if number is None else number
+        return special(s) if number is None else number
+
+    def special(s: str) -> Any:
+        return parse_ref(s) or (Expr(s[2:-1]) if s.startswith("$(") and s.endswith(")") else s)
 
     def cells(s: str, delimiter: str) -> list[str]:
         return [m[0] for m in re.finditer(rf'"(?:[^"\\]|\\.)*"|[^{re.escape(delimiter)}]+|(?<={re.escape(delimiter)})(?={re.escape(delimiter)}|\Z)|\A(?={re.escape(delimiter)})', s)]
