@@ -16,8 +16,8 @@ IRREGULAR = {
 }
 #: Words that the graph query language reserves.
 KEYWORDS = (
-    "ALL AND ANY AS ASC BY CALL CASE CONTAINS CREATE DELETE DESC DETACH DISTINCT ELSE END ENDS EXISTS FALSE FOREACH IN IS LIMIT MATCH MERGE NODE NONE NOT NULL ON OPTIONAL OR ORDER "
-    "RELATIONSHIP REMOVE RETURN SET SINGLE SKIP STARTS THEN TRUE UNION UNIQUE UNWIND WHEN WHERE WITH XOR YIELD"
+    "ALL AND ANY AS ASC ASCENDING BY CALL CASE CONTAINS COUNT CREATE DELETE DESC DESCENDING DETACH DISTINCT DO DROP ELSE END ENDS EXISTS FALSE FILTER FOREACH IN IS LIMIT MANDATORY MATCH MERGE NODE NONE NOT NULL "
+    "OF ON OPTIONAL OR ORDER REDUCE RELATIONSHIP REMOVE RETURN SET SINGLE SKIP SOME STARTS THEN TRUE UNION UNIQUE UNWIND USING WHEN WHERE WITH XOR YIELD"
 ).split()
 
 
@@ -82,18 +82,18 @@ def snake_case(name: Column) -> Column:
 
 def identifier(name: Column) -> Column:
     """Characters that no identifier has become underscores; a leading digit gets one, and so does nothing at all."""
-    safe = F.regexp_replace(name, r"[^\p{L}\p{N}_]", "_")
+    safe = F.regexp_replace(name, r"[^A-Za-z0-9_]", "_")
     return F.when(name == "", F.lit("_")).when(safe.rlike("^[0-9]"), F.concat(F.lit("_"), safe)).otherwise(safe)
 
 
 def relationship_type(name: Column) -> Column:
     """Words in capitals with single underscores between them."""
-    parted = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1_$2")
-    return F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(parted, r"[^\p{L}\p{N}]", "_"), "_+", "_"), "^_|_$", ""))
+    parted = F.regexp_replace(name, r"([a-z])([A-Z])", "$1_$2")
+    return F.upper(F.regexp_replace(F.regexp_replace(parted, r"[^A-Za-z0-9]+", "_"), "^_|_$", ""))
 
 
 def escape_string(text: Column) -> Column:
-    steps = [("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+    steps = [("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\u0000")]
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, text)
 
 
@@ -153,24 +153,43 @@ def tensor_is_integer(flat: Column) -> Column:
 # ---- answers in a common form
 
 
+def clean_answer(text: Column) -> Column:
+    """Without a code fence, then without quotes, around it."""
+
+    def strip(c: Column) -> Column:
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    s = strip(text)
+    s = F.when(s.rlike(r"(?s)^```[^\n]*\n.*```"), strip(F.regexp_extract(s, r"(?s)^```[^\n]*\n(.*)```", 1))).otherwise(s)
+    return strip(F.when(s.rlike(r"""(?s)^(".*"|'.*')$"""), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s))
+
+
+def _bare_number(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9.+eE-]", "")
+
+
 def normal_integer(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"[,\s$€£%]", "").try_cast("bigint").cast("string")
+    """An integer among other marks; a decimal number loses its fraction."""
+    bare = _bare_number(text)
+    return F.coalesce(bare.try_cast("bigint"), bare.try_cast("double").cast("bigint")).cast("string")
 
 
 def normal_number(text: Column, decimals: int) -> Column:
-    value = F.regexp_replace(F.trim(text), r"[,\s$€£%]", "").try_cast(f"decimal(38,{decimals + 6})")
-    return F.format_string(f"%.{decimals}f", F.round(value, decimals).cast("double"))
+    """A number with so many decimals; percentages are shares of one."""
+    value = _bare_number(text).try_cast("double")
+    value = F.when(text.contains("%"), value / 100).otherwise(value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", F.round(value, decimals)))
 
 
 def normal_boolean(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    return F.when(low.isin("true", "yes", "y", "1", "t"), "true").when(low.isin("false", "no", "n", "0", "f"), "false")
+    return F.when(low.isin("yes", "y", "true", "1", "on"), "true").when(low.isin("no", "n", "false", "0", "off"), "false")
 
 
 def normal_date(text: Column) -> Column:
-    t = F.trim(text)
-    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "d MMMM yyyy"]
-    return F.coalesce(*[F.try_to_date(t, f) if hasattr(F, "try_to_date") else F.to_date(t, f) for f in formats]).cast("string")
+    """year-month-day, from that order with dashes or from month/day/year."""
+    parts = F.split(text, "/")
+    return F.when(text.rlike(r"^.{4}-..-.."), F.substr(text, F.lit(1), F.lit(10))).when(text.rlike(r"^../../.{4}"), F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(0)), 2, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0")))
 
 
 def normal_list(text: Column, ordered: bool) -> Column:

@@ -11,11 +11,11 @@ from .windows import batches, sibling_order
 
 def edge_name(column: Column, target: Column, naming: str = "property") -> Column:
     """The type of a reference's relationship: by the property, generic, or by the target's type."""
-    return {"property": X.relationship_type(column), "generic": F.lit("REFERENCES"), "target": F.concat(F.lit("REFERENCES_"), X.relationship_type(target))}[naming]
+    return {"property": X.relationship_type(column), "generic": F.lit("REFERENCES"), "target": F.coalesce(F.upper(target), X.relationship_type(column))}[naming]
 
 
 def nest_name(child: Column, naming: str = "property") -> Column:
-    return {"property": F.concat(F.lit("HAS_"), X.relationship_type(child)), "generic": F.lit("HAS_CHILD"), "target": X.relationship_type(child)}[naming]
+    return {"property": F.concat(F.lit("HAS_"), F.upper(child)), "generic": F.lit("HAS_CHILD"), "target": F.upper(child)}[naming]
 
 
 def foreign_key_edges(df: DataFrame, from_type: str, key: str, column: str, to_type: str, prefix: tuple[str, str], naming: str = "property") -> DataFrame:

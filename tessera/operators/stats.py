@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: From which whole percentage a slow-down counts as minor, moderate, severe.
 MINOR, MODERATE, SEVERE = 5, 15, 50
 #: Words in a benchmark's name and the category they mean, in the order in which they are tried.
-CATEGORIES = [("pars", "parsing"), ("lex", "lexing"), ("lint", "linting"), ("valid", "validation"), ("json", "conversion"), ("yaml", "conversion"), ("xml", "conversion"), ("conver", "conversion"), ("stream", "streaming")]
+CATEGORIES = [("parse", "parsing"), ("convert", "conversion"), ("json", "conversion"), ("yaml", "conversion"), ("stream", "streaming"), ("mem", "memory"), ("valid", "validation"), ("lsp", "lsp"), ("mcp", "mcp"), ("ffi", "ffi")]
 
 
 def count_by_type(nodes: DataFrame) -> DataFrame:

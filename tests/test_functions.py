@@ -37,10 +37,11 @@ def test_ladder(spark):
         (X.escape_identifier, [("name", "name"), ("match", "`match`"), ("a`b", "`a``b`")]),
         (X.string_format, [("a@b.c", "email"), ("https://x", "uri"), ("2024-01-01T00:00:00Z", "date-time"), ("123e4567-e89b-12d3-a456-426614174000", "uuid"), ("x", None)]),
         (X.name_format, [("user_email", "email"), ("updated_on", "date-time"), ("guid", "uuid"), ("n", None)]),
-        (X.normal_integer, [(" 1,234 ", "1234"), ("$5", "5"), ("x", None)]),
-        (lambda c: X.normal_number(c, 2), [("1,234.567", "1234.57"), ("3", "3.00")]),
-        (X.normal_boolean, [("Yes", "true"), ("0", "false"), ("?", None)]),
-        (X.normal_date, [("2024-03-01", "2024-03-01"), ("03/01/2024", "2024-03-01"), ("March 1, 2024", "2024-03-01"), ("x", None)]),
+        (X.normal_integer, [(" 1,234 ", "1234"), ("$5", "5"), ("7.9", "7"), ("x", None)]),
+        (lambda c: X.normal_number(c, 2), [("1,234.567", "1234.57"), ("3", "3.00"), ("45%", "0.45"), ("x", None)]),
+        (X.normal_boolean, [("Yes", "true"), ("off", "false"), ("?", None)]),
+        (X.normal_date, [("2024-03-01T10:00", "2024-03-01"), ("03/01/2024", "2024-03-01"), ("x", None)]),
+        (X.clean_answer, [(' "a b" ', "a b"), ("```json\n[1]\n```", "[1]"), ("x", "x")]),
         (lambda c: X.normal_list(c, False), [("b, A ,c", "a,b,c")]),
         (lambda c: X.estimate_tokens(c).cast("string"), [("ab, c\u00a0d!", "3"), ("", "0")]),
         (lambda c: X.estimate_tokens_coarse(c).cast("string"), [("aaaa bbbb cc  d", "3")]),

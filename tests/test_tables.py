@@ -43,7 +43,7 @@ def test_references_and_graph(parsed):
     nodes = parsed["nodes"].where("doc_id = 'd1'")
     edges = graph.reference_edges(nodes)
     assert {(r.from_id, r.to_id, r.rel_type) for r in edges.collect()} == {("p1", "u1", "AUTHOR"), ("p2", "u2", "AUTHOR")}
-    assert [r.rel_type for r in graph.reference_edges(nodes, "target").limit(1).collect()] == ["REFERENCES_USER"]
+    assert [r.rel_type for r in graph.reference_edges(nodes, "target").limit(1).collect()] == ["USER"]
     nests = graph.nest_edges(nodes).orderBy("nest_order").collect()
     assert [(r.from_id, r.to_id, r.rel_type, r.nest_order) for r in nests] == [("p1", "c1", "HAS_COMMENT", 0), ("p1", "c2", "HAS_COMMENT", 1)]
     keyed = edges.select("from_type", "from_id", "column", F.col("to_type").alias("ref_type"), F.col("to_id").alias("ref_id"))
