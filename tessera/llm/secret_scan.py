@@ -11,6 +11,8 @@ Every row is judged by itself: there is no shuffle and nothing to skew. Texts wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,29 +44,31 @@ ALLOWED = [
 ]
 
 
-def _spans(text: Column, pattern: str, kind: int, ok: str = "true") -> Column:
-    """Spans ``(s, k, e)`` of the leftmost matches that do not overlap, in code points, of those that fulfil ``ok`` (SQL over ``m``, the match)."""
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
+SPANS = "array<struct<s:int,k:int,e:int>>"
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(found_gaps(), i))
-        hit = F.get(found_hits(), i)
-        end = start + F.char_length(hit)
-        span = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(holds(hit), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    def found_gaps() -> Column:
-        return found["gaps"]
+def _walk(text: Column, pattern: str, spans: Callable[[Column, Column], Column]) -> Column:
+    """Spans of a text: ``spans(hit, start)`` gives those of each leftmost match. Gaps and matches are cut out once and walked over once."""
+    none = F.array().cast(SPANS)
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+
+    def step(acc: Column, part: Column) -> Column:
+        start = acc["at"] + F.char_length(part["gap"])
+        own = spans(part["hit"], start)
+        return F.struct((start + F.coalesce(F.char_length(part["hit"]), F.lit(0))).alias("at"), F.when(F.size(own) > 0, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    def found_hits() -> Column:
-        return found["hits"]
+    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), walked).otherwise(none)
 
-    def holds(hit: Column) -> Column:
-        return F.lit(True) if ok == "true" else F.char_length(F.regexp_extract(hit, pattern, 2)) >= int(ok)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found["hits"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+def _base(text: Column, pattern: str, kind: int, value: int | None = None) -> Column:
+    """Spans in code points of matches; if ``value`` is given, of those whose second group has so many characters."""
+
+    def own(hit: Column, start: Column) -> Column:
+        fits = hit.isNotNull() if value is None else F.char_length(F.regexp_extract(hit, pattern, 2)) >= value
+        return F.when(fits, F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + F.char_length(hit)).alias("e")))).otherwise(F.array().cast(SPANS))
+
+    return _walk(text, pattern, own)
 
 
 def _entropy_hits(candidate: Column, limit: Column) -> Column:
@@ -111,24 +115,20 @@ def _limit(candidate: Column) -> Column:
 
 
 def _entropy_spans(text: Column) -> Column:
-    """Spans of high entropy, as ``_spans`` has them; windows that overlap or touch are united."""
-    spans = _spans(text, CANDIDATE, KINDS.index("entropy"))
-    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
-
-    def united(span: Column) -> Column:
-        candidate = F.substring(text, span["s"] + 1, span["e"] - span["s"])
+    """Spans of high entropy; windows of a candidate that overlap or touch are united."""
+    kind, none = F.lit(KINDS.index("entropy")), F.array().cast(SPANS)
 
+    def own(candidate: Column, start: Column) -> Column:
         def add(acc: Column, at: Column) -> Column:
-            s, e = span["s"] + at, span["s"] + at + WINDOW
-            last = F.element_at(acc, -1)
-            alone = F.array(F.struct(s.alias("s"), span["k"].alias("k"), e.alias("e")))
-            joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), span["k"].alias("k"), e.alias("e"))))
-            return F.when(F.size(acc) == 0, alone).when(last["e"] >= s, joined).otherwise(F.concat(acc, alone))
+            last, end = F.element_at(acc, -1), start + at + WINDOW
+            alone = F.array(F.struct((start + at).alias("s"), kind.alias("k"), end.alias("e")))
+            joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), kind.alias("k"), end.alias("e"))))
+            return F.when(F.size(acc) == 0, alone).when(last["e"] >= start + at, joined).otherwise(F.concat(acc, alone))
 
         limit = _limit(candidate)
-        return F.when(limit.isNotNull(), F.aggregate(_entropy_hits(candidate, limit), empty, add)).otherwise(empty)
+        return F.when(limit.isNotNull(), F.aggregate(_entropy_hits(candidate, limit), none, add)).otherwise(none)
 
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, united))).otherwise(empty)
+    return _walk(text, CANDIDATE, own)
 
 
 def _joined(spans: Column) -> Column:
@@ -144,7 +144,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     t = F.col("t")
-    rows = rows.select("k", _spans(t, ASSIGN, 0, str(ASSIGN_VALUE)).alias("assign"), _spans(t, ACCESS, 1).alias("access"), _spans(t, HEX, 2).alias("hex"), _entropy_spans(t).alias("entropy"))
+    rows = rows.select("k", _base(t, ASSIGN, 0, ASSIGN_VALUE).alias("assign"), _base(t, ACCESS, 1).alias("access"), _base(t, HEX, 2).alias("hex"), _entropy_spans(t).alias("entropy"))
     return rows.withColumnRenamed("k", key)
 
 
