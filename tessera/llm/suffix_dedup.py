@@ -10,7 +10,7 @@ text several times over, so places that cannot repeat, and places that certainly
 2. Where all segments with an anchor are equal as a whole, each of their starts repeats. This settles the inside of copies and long passages.
 3. The segments that are left, at the ends of passages, are dealt out by anchor: equal strings meet. The distinct ones of each deal
    are joined into one text, and its difference-cover suffix array tells which starts repeat. Deals have a bounded size;
-   an anchor with more distinct segments than that is settled by counting its strings in a shuffle with map-side combine instead.
+   an anchor with more distinct segments than that is settled by counting its strings, range by range, in shuffles with map-side combine instead.
 
 Texts are shuffled once, and a second time only for documents that have segments of the third kind. Copies of a text share its results.
 """
@@ -132,13 +132,13 @@ def _rolling(buffer: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays ``text, anchor hash, first start, starts`` of the segments of texts, in order."""
+def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Arrays ``text, anchor hash, first start, starts, anchor's place`` (from the first start) of the segments of texts, in order."""
     sizes = np.array([len(t) for t in texts], np.int64)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(buffer) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     hashes = _rolling(buffer, anchor)
     window = length - anchor + 1
     # The least hash, and of equal ones the first: its upper bits with the place below them.
@@ -161,7 +161,7 @@ def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     keep = place[edge] >= 0
     edge, many = edge[keep], many[keep]
     owner = text_of[edge]
-    return owner, hashes[place[edge]].view(np.int64), edge - (ends - sizes)[owner], many
+    return owner, hashes[place[edge]].view(np.int64), edge - (ends - sizes)[owner], many, place[edge] - edge
 
 
 def _parts(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -194,10 +194,10 @@ def _segment_rows(length: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, places, own in _batches(batch["t"], length):
-                owner, anchors, first, many = segments(own, length)
+                owner, anchors, first, many, spot = segments(own, length)
                 whole = np.array([xxhash.xxh3_64_intdigest(own[o][f : f + m + length - 1]) for o, f, m in zip(owner.tolist(), first.tolist(), many.tolist())], np.uint64)
                 row, place = np.array(rows)[owner], np.array(places)[owner]
-                yield pd.DataFrame({"a": anchors, "g": whole.view(np.int64), "x": batch["x"].to_numpy()[row], "y": batch["y"].to_numpy()[row], "s": first + place, "m": many})
+                yield pd.DataFrame({"a": anchors, "g": whole.view(np.int64), "x": batch["x"].to_numpy()[row], "y": batch["y"].to_numpy()[row], "s": first + place, "m": many, "p": spot})
 
     return of
 
@@ -240,14 +240,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     scratch = Scratch(spark, "suffix-dedup")
     # A text goes by its hash (x) and its length (y).
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumns({"x": F.xxhash64("t"), "y": F.octet_length("t").cast("long")})
-    found = scratch.keep(rows.select("t", "x", "y").mapInPandas(_segment_rows(length), "a long, g long, x long, y long, s long, m long"), "segments")
+    found = scratch.keep(rows.select("t", "x", "y").mapInPandas(_segment_rows(length), "a long, g long, x long, y long, s long, m long, p long"), "segments")
     anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("n > 1")
     anchors = scratch.keep(anchors.select("a", (F.col("low") != F.col("high")).alias("open")), "anchors")
-    again = scratch.keep(found.join(anchors, "a").select("x", "y", "s", "m", F.when(F.col("open"), F.struct("a", "g")).alias("o")).distinct(), "again")
+    again = scratch.keep(found.join(anchors, "a").select("x", "y", "s", "m", F.when(F.col("open"), F.struct("a", "g", "p")).alias("o")).distinct(), "again")
     scratch.drop([found, anchors])
     is_open = F.col("o").isNotNull()
     of_text = again.groupBy("x", "y").agg(
-        F.array_sort(F.collect_list(F.when(~is_open, F.struct("s", "m")))).alias("closed"), F.array_sort(F.collect_list(F.when(is_open, F.struct("s", "m", "o.a", "o.g")))).alias("left")
+        F.array_sort(F.collect_list(F.when(~is_open, F.struct("s", "m")))).alias("closed"), F.array_sort(F.collect_list(F.when(is_open, F.struct("s", "m", "o.a", "o.g", "o.p")))).alias("left")
     )
     of_text = scratch.keep(of_text.select("x", "y", "left", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("closed", "left") for f in "sm"]), "of-text")
 
@@ -258,8 +258,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     open_rows = halves.where(F.col("t").isNotNull())
 
     # Distinct open segments with their bytes.
-    pieces = open_rows.select(F.encode("t", "UTF-8").alias("b"), F.explode("left").alias("o")).select("o.a", "o.g", F.substring("b", (F.col("o.s") + 1).cast("int"), (F.col("o.m") + length - 1).cast("int")).alias("b"))
-    distinct = scratch.keep(pieces.groupBy("a", "g").agg(F.count("*").alias("n"), F.max("b").alias("b")), "distinct")
+    pieces = open_rows.select(F.encode("t", "UTF-8").alias("b"), F.explode("left").alias("o")).select("o.a", "o.g", "o.p", F.substring("b", (F.col("o.s") + 1).cast("int"), (F.col("o.m") + length - 1).cast("int")).alias("b"))
+    distinct = scratch.keep(pieces.groupBy("a", "g").agg(F.count("*").alias("n"), F.max("p").alias("p"), F.max("b").alias("b")), "distinct")
     sizes = distinct.groupBy("a").agg(F.count("*").alias("c"))
     crowded = scratch.keep(sizes.where(F.col("c") > DEAL_SEGMENTS).select("a"), "crowded")
     fair = distinct.join(crowded, "a", "left_anti")
@@ -272,19 +272,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
         return pd.DataFrame({"a": frame["a"], "g": frame["g"], "s": [np.array([r[0] for r in own], np.int64) for own in runs], "m": [np.array([r[1] for r in own], np.int64) for own in runs]})
 
     judged = fair.select("a", "g", "n", "b", F.pmod(F.xxhash64("a"), F.lit(deals)).alias("deal")).groupBy("deal").applyInPandas(judge, "a long, g long, s array<long>, m array<long>")
-    # Strings of crowded anchors, counted one by one.
-    strings = distinct.join(crowded, "a", "left_semi").select("a", "g", "n", "b", F.explode(F.sequence(F.lit(0), F.length("b") - length)).alias("o"))
-    strings = strings.select("a", "g", "n", F.col("o").cast("long").alias("o"), F.substring("b", F.col("o") + 1, F.lit(length)).alias("w"))
-    often = strings.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    counted = strings.join(often, "w", "left_semi").groupBy("a", "g").agg(F.collect_list("o").alias("s"))
-    counted = counted.select("a", "g", "s", F.array_repeat(F.lit(1).cast("long"), F.size("s")).alias("m"))
+    counted = _counted(distinct.join(crowded, "a", "left_semi"), scratch, length)
     results = scratch.keep(judged.union(counted).where(F.size("s") > 0), "results")
 
     # Starts in their texts, in one list for each text.
     late = again.where(is_open).select("x", "y", F.col("s").alias("at"), "o.a", "o.g").join(results, ["a", "g"])
     late = late.groupBy("x", "y").agg(F.flatten(F.collect_list(F.transform("s", lambda s: s + F.col("at")))).alias("late_s"), F.flatten(F.collect_list("m")).alias("late_m"))
     late = scratch.keep(late, "late")
-    scratch.drop([again, of_text, distinct, crowded, results])
+    scratch.drop([again, of_text, distinct, crowded, results, *counted.parts])
     none = F.array().cast("array<long>")
     both = [F.concat(F.coalesce(f"closed_{f}", none), F.coalesce(f"late_{f}", none)) for f in "sm"]
     finished = open_rows.select("k", "x", "y", "t", "closed_s", "closed_m").join(late, ["x", "y"], "left").select("k", _outcomes(length)("t", *both).alias("done"))
@@ -292,6 +287,38 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     return out.select(F.col("k").alias(key), "done.*")
 
 
+#: Widths of the ranges of starts by which the strings of crowded anchors are compared.
+WIDTHS = (16, 4, 1)
+
+
+def _counted(crowded: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """Runs of repeated starts in segments whose anchors have very many different segments: ``a, g, s, m``.
+
+    Starts are taken in ranges by their distance from the anchor. All strings that start in a range have its core in common, so ranges are
+    counted by their cores, with map-side combine: a core that occurs once repeats nowhere, and where all ranges with a
+    core are equal, all their starts repeat. Ranges that are neither are cut into narrower ones; at the last width a core is a whole string.
+    """
+    rows, found, parts = crowded.select("a", "g", "n", "p", "b", F.lit(0).cast("long").alias("lo"), (F.length("b") - length).cast("long").alias("hi")), None, []
+    for width in WIDTHS:
+        w = F.lit(width)
+        ranges = rows.select("*", F.explode(F.sequence(F.expr(f"(p - hi) div {width}"), F.expr(f"(p - lo) div {width}"))).alias("j"))
+        last = F.col("p") - F.col("j") * w
+        ranges = ranges.withColumns({"last": last, "lo": F.greatest("lo", last - w + 1), "hi": F.least("hi", last)})
+        core = F.substring("b", (F.col("last") + 1).cast("int"), F.lit(length - width + 1))
+        whole = F.substring("b", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
+        ranges = ranges.select("a", "g", "n", "p", "lo", "hi", F.unhex(F.md5(core)).alias("core"), F.xxhash64(whole, F.col("p") - F.col("lo"), F.col("p") - F.col("hi")).alias("h"))
+        ranges = scratch.keep(ranges, f"ranges-{width}")
+        cores = scratch.keep(ranges.groupBy("core").agg(F.sum("n").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1").select("core", (F.col("low") == F.col("high")).alias("equal")), f"cores-{width}")
+        parts += [ranges, cores]
+        met = ranges.join(cores, "core")
+        closed = met.where("equal").select("a", "g", F.col("lo").alias("s"), (F.col("hi") - F.col("lo") + 1).alias("m"))
+        found = closed if found is None else found.union(closed)
+        rows = met.where("NOT equal").select("a", "g", "n", "p", "lo", "hi").join(crowded.select("a", "g", "b"), ["a", "g"])
+    out = found.groupBy("a", "g").agg(F.collect_list(F.struct("s", "m")).alias("r")).select("a", "g", F.col("r.s").alias("s"), F.col("r.m").alias("m"))
+    out.parts = parts
+    return out
+
+
 def _outcomes(length: int):
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
