@@ -171,3 +171,20 @@ def display(c: Column) -> Column:
         .when(c["k"] == "tensor", F.lit("[tensor]"))
         .otherwise(c["s"])
     )
+
+
+def as_json(c: Column) -> Column:
+    """A cell as JSON: references and expressions are text, tensors have shape and data."""
+    return (
+        F.when(c["k"] == "null", F.lit("null"))
+        .when(c["k"].isin("bool", "int"), display(c))
+        .when(c["k"] == "float", F.when(F.isnan(c["d"]) | (F.abs(c["d"]) == float("inf")), F.lit("null")).otherwise(c["d"].cast("string")))
+        .when(c["k"] == "tensor", F.to_json(F.struct(F.struct(c["shape"].alias("shape"), c["data"].alias("data")).alias("tensor"))))
+        .otherwise(F.regexp_extract(F.to_json(F.struct(display(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    )
+
+
+def property_cell(text: Column) -> Column:
+    """A text property of a graph as a cell: references and tensors are told by their first character."""
+    ref = parse_reference(text)
+    return F.when(text.isNull(), cell("null")).when(ref.isNotNull(), cell("ref", ref_type=ref["type"], ref_id=ref["id"])).when(tensor(text).isNotNull(), tensor(text)).otherwise(cell("string", s=text))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +103,25 @@ def quote_string(text: Column) -> Column:
     return F.concat(F.lit("'"), escape_string(text), F.lit("'"))
 
 
+#: Control characters and format characters that names must not have.
+UNSAFE = r"[\x00-\x1f\x7f-\x9f\u00ad\u061c\u180e\u200b-\u200d\u202a-\u202e\u2066-\u2069\ufeff]"
+
+
+def safe_name(name: Column) -> Column:
+    """A name in composed form (NFC) without characters that only confuse readers."""
+
+    @F.pandas_udf("string")
+    def composed(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.regexp_replace(F.when(name.rlike(r"^[\x00-\x7f]*$"), name).otherwise(composed(name)), UNSAFE, "")
+
+
+def at_most_bytes(text: Column, most: int) -> Column:
+    """The text; an action fails where it has more bytes."""
+    return F.when(F.octet_length(text) <= most, text).when(text.isNotNull(), F.raise_error(F.lit(f"text exceeds {most} bytes")).cast("string"))
+
+
 def is_keyword(word: Column) -> Column:
     return F.upper(word).isin(*KEYWORDS)
 

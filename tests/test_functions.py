@@ -51,6 +51,15 @@ def test_text(spark, f, pairs):
     assert apply(spark, f, [p[0] for p in pairs]) == [p[1] for p in pairs]
 
 
+def test_cells_out_and_in(spark):
+    texts = ["~", "true", "5", "1.5", 'a "b"', "@T:x", "[1, 2]", "$(f(x))"]
+    assert apply(spark, lambda c: infer.as_json(infer.infer_cell(c)), texts) == ["null", "true", "5", "1.5", '"a \\"b\\""', '"@T:x"', '{"tensor":{"shape":[2],"data":[1.0,2.0]}}', '"$(f(x))"']
+    assert [g.k for g in apply(spark, infer.property_cell, ["@T:x", "[1]", "x", None])] == ["ref", "tensor", "string", "null"]
+    assert apply(spark, X.safe_name, ["cafe\u0301", "a\u200bb", "x", None]) == ["caf\u00e9", "ab", "x", None]
+    with pytest.raises(Exception, match="exceeds 2 bytes"):
+        apply(spark, lambda c: X.at_most_bytes(c, 2), ["abc"])
+
+
 DOC = '{"a": {"b": [1, 2.5, "x", null, true], "c": "t"}, "items": [{"n": 1, "t": "x", "k": {"n": 9}}, {"n": 5}, {"t": "y", "n": 3, "q": null}], "e": [], "s\'q": 1}'
 
 
