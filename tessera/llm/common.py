@@ -56,6 +56,10 @@ class Scratch:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` by alternating large-star and small-star steps.
 
@@ -64,6 +68,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
     with the logarithm of the component size. Each round's edges are written to the shared folder.
     """
     current = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
     for _ in range(max_rounds):
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -71,13 +76,14 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         following = scratch.keep(small, "edges")
-        # A star forest is a fixed point: every node has one edge, to a node that has none itself.
-        state = following.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        before = current.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+        # A star forest is a fixed point. Counts and a combined hash of all edges tell whether anything changed.
+        after = _mark(following)
+        before = _mark(current) if before is None else before
         scratch.drop([current])
         current = following
-        if state == before:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -152,7 +152,9 @@ def links(fps: DataFrame, scratch: Scratch, pairs_per_key: int = PAIRS_PER_KEY)
     values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     met = many.select("fp", F.explode(values).alias("value")).groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     star = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return scratch.keep(near.union(star).distinct(), "links")
+    out = scratch.keep(near.union(star).distinct(), "links")
+    scratch.drop([keyed, crowded])
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
