@@ -31,8 +31,8 @@ from .common import Scratch, load, text_or_empty
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of distinct segments that one suffix array is built over, about; and segments of one anchor that may be in it.
-DEAL_BYTES = 1 << 20
-DEAL_SEGMENTS = 2000
+DEAL_BYTES = 1 << 18
+DEAL_SEGMENTS = 1000
 _BASE = 0x9E3779B97F4A7C15
 _BATCH = 1 << 18
 
