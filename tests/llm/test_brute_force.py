@@ -71,7 +71,7 @@ def test_suffix_dedup_periodic(spark):
 
 def test_names_do_not_depend_on_hashes(spark, monkeypatch):
     """Blocks whose hashes clash are told apart by their bytes."""
-    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if c == ("block",) else F.hash(*c).cast("long"))
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.lit(7).cast("long") if isinstance(c, str) and c == "block" else F.hash(c).cast("long"))
     texts = ["aaaa", "aaab", "aaaabbbb", "aaaabbbc", "aaaabbbb ", "", "aaaabbbbcccc", "aaaabbbbcccd"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, frame, block_bytes=4).collect()}
@@ -228,7 +228,7 @@ def test_components_of_a_chain(spark):
 
 
 def held_out_pairs(spark, query, label):
-    truth = pd.read_parquet(f"/root/testdata/sf0.01/labels.parquet")
+    truth = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
     got = query(spark, "/root/testdata/sf0.01").toPandas()
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all()
     both = got[got.held_out].merge(truth, on="doc_id")
