@@ -32,7 +32,7 @@ LENGTH = 200
 ANCHOR = 32
 #: Bytes of distinct segments that one suffix array is built over, about; and segments of one anchor that may be in it.
 DEAL_BYTES = 1 << 18
-DEAL_SEGMENTS = 1000
+DEAL_SEGMENTS = 4000
 _BASE = 0x9E3779B97F4A7C15
 _BATCH = 1 << 18
 
