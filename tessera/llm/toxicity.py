@@ -113,7 +113,7 @@ def _select(docs: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
     return np.sort(ids[best[gain[best] > 3.0]])
 
 
-def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-3, counterfactual: float = 1.0, steps: int = 400) -> Model:
+def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-5, counterfactual: float = 1.0, steps: int = 400) -> Model:
     """Fit from rows of ``label, ids, swapped``. ``counterfactual`` weighs the penalty on score changes under swaps.
 
     Without rows, or with one label only, the model gives the share of label 1 (one half without rows).
@@ -136,7 +136,9 @@ def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-3, count
     change = [x[i] - vector(np.frombuffer(s, np.int32)) for i, swaps in enumerate(data["swapped"]) for s in (swaps if swaps is not None else [])]
     d = np.stack(change) if change else np.zeros((0, len(chosen)), np.float32)
     d = d[np.any(d != 0, axis=1)]
-    w, b = np.zeros(len(chosen), np.float32), float(np.log(share / (1 - share)))
+    # The fit starts at a third of each feature's log-odds, as a word has three features.
+    odds = np.log((y @ x + 0.5) / (y.sum() + 1)) - np.log(((1 - y) @ x + 0.5) / ((1 - y).sum() + 1))
+    w, b = (odds / 3).astype(np.float32), float(np.log(share / (1 - share)))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
