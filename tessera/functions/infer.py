@@ -73,8 +73,15 @@ def cell(k: str, **values: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """An int or float cell, or null. Integers beyond 64 bits aren't numbers."""
-    return F.coalesce(F.when(parse_int(text).isNotNull(), cell("int", i=parse_int(text))), F.when(parse_float(text).isNotNull(), cell("float", d=parse_float(text))))
+    """An int or float cell, or null. Integers beyond 64 bits aren't numbers. Texts of usual length are cast once, without a second look."""
+    whole, real, long = text.rlike(INTEGER), text.rlike(DECIMAL), F.octet_length(text) > 18
+    exact, finite = parse_int(text), parse_float(text)
+    return (
+        F.when(~text.rlike("^-?[0-9]"), F.lit(None).cast(CELL))
+        .when(~text.contains("."), F.when(whole & ~long, cell("int", i=text.cast("bigint"))).when(whole & exact.isNotNull(), cell("int", i=exact)))
+        .when(real & ~long & ~text.rlike("[eE]"), cell("float", d=text.cast("double")))
+        .when(real & finite.isNotNull(), cell("float", d=finite))
+    )
 
 
 def tensor(text: Column) -> Column:
@@ -115,6 +122,27 @@ def infer_cell(text: Column, quoted: Column | None = None, aliases: Column | Non
     return F.when(text.isNotNull(), F.when(quoted, cell("string", s=F.replace(text, F.lit('""'), F.lit('"')))).otherwise(ladder))
 
 
+def kind_of(text: Column) -> Column:
+    """The kind that the ladder gives a cell, without its value; aliases aren't looked up."""
+    t = F.trim(text)
+    long = F.octet_length(t) > 18
+    number_kind = (
+        F.when(~t.rlike("^-?[0-9]"), F.lit(None).cast("string"))
+        .when(~t.contains("."), F.when(t.rlike(INTEGER) & (~long | t.try_cast("bigint").isNotNull()), "int"))
+        .when(t.rlike(DECIMAL) & ((~long & ~t.rlike("[eE]")) | parse_float(t).isNotNull()), "float")
+    )
+    return (
+        F.when(t == "~", "null")
+        .when(t.isin("true", "false"), "bool")
+        .when(t == "^", "ditto")
+        .when(t.startswith("["), F.when(tensor(t).isNotNull(), "tensor").otherwise("string"))
+        .when(t.startswith("@"), F.when(t.rlike(REFERENCE), "ref").otherwise("error"))
+        .when(t.startswith("$("), F.when(t.endswith(")"), "expr").otherwise("error"))
+        .when(t.startswith("%"), "alias")
+        .otherwise(F.coalesce(number_kind, F.lit("string")))
+    )
+
+
 def infer_csv_cell(text: Column) -> Column:
     """The ladder of CSV cells: empty is null, ``+1`` and exponents are numbers, not-a-number and infinities have names."""
     t = F.trim(text)

@@ -219,7 +219,7 @@ def infer_kind(spark, d):
     more = [F.lit(x) for x in ("1e10", "1.5e3", "+1", "99999999999999999999", "-7")]
     cells = [F.col("event_id").cast("string"), F.format_string("%.2f", "value"), F.col("event_type"), F.concat(F.lit("@User:u"), F.col("user_id").cast("string")), F.concat(F.lit("@e"), F.col("event_id").cast("string")), *fixed, F.col("props"), *more]
     texts = table(spark, d, "events").select(F.explode(F.array(*cells)).alias("t"))
-    return texts.groupBy(infer.infer_cell(F.col("t"))["k"].alias("kind")).agg(F.count("*").alias("count"))
+    return texts.groupBy(infer.kind_of(F.col("t")).alias("kind")).agg(F.count("*").alias("count"))
 
 
 @query_of("SELECT * FROM (VALUES ('c_custkey', 'int'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'float'), ('c_mktsegment', 'string')) v(\"column\", type)")

@@ -19,6 +19,8 @@ def test_ladder(spark):
     got = apply(spark, lambda c: infer.infer_cell(c, aliases=F.create_map(F.lit("k"), F.lit("12"))), texts)
     assert [g.k for g in got] == ["null", "bool", "ditto", "tensor", "tensor", "string", "ref", "ref", "error", "expr", "int", "error", "int", "float", "string", "string", "string", "string", "string", "string", "string"]
     assert got[3].shape == [2] and got[4].shape == [2, 1] and got[4].data == [1.0, 2.0] and (got[6].ref_type, got[7].ref_type) == ("T", None) and got[10].i == 12 and got[18].s == "x"
+    kinds = apply(spark, infer.kind_of, texts)
+    assert [k for k, t in zip(kinds, texts) if t[:1] != "%"] == [g.k for g, t in zip(got, texts) if t[:1] != "%"]
     csv = apply(spark, infer.infer_csv_cell, ["", "NaN", "+1", "1e3", "@T:x", "false", "null", None])
     assert [g.k for g in csv] == ["null", "float", "int", "float", "ref", "bool", "string", "null"]
     assert apply(spark, lambda c: infer.display(infer.infer_cell(c)), ["~", "true", "5", "@T:a", "[1]", "x"]) == ["~", "true", "5", "@T:a", "[tensor]", "x"]
