@@ -48,9 +48,12 @@ def identities(spark: SparkSession, docs: DataFrame, scratch: Scratch, block_byt
     # The bytes are kept only for hashes that stand for several blocks; those are found from the integers.
     names = scratch.keep(named.select("h", "name", "block"), "blocks")
     clashing = names.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    plain = names.select("h", "name").join(clashing, "h", "left_anti")
+    # Both sides of the join are written tables, so that adaptive execution can split a block that very many documents share.
+    clash, plain = not clashing.isEmpty(), names.select("h", "name")
+    if clash:
+        plain = scratch.keep(plain.join(clashing, "h", "left_anti"), "plain")
     level = blocks.select("k", "rh", "n", "i", "h").join(plain, "h").select("k", "rh", "n", "i", "name")
-    if not clashing.isEmpty():
+    if clash:
         told = names.join(clashing, "h", "left_semi")
         level = level.union(blocks.join(clashing, "h", "left_semi").join(told, ["h", "block"]).select("k", "rh", "n", "i", "name"))
     level = scratch.keep(level.distinct(), "level")
