@@ -72,6 +72,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
     for _ in range(max_rounds):
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The root of a large component has very many edges; against a written table the join can be split.
+        least = scratch.keep(least, "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
@@ -79,7 +81,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
         # A star forest is a fixed point. Counts and a combined hash of all edges tell whether anything changed.
         after = _mark(following)
         before = _mark(current) if before is None else before
-        scratch.drop([current])
+        scratch.drop([current, least])
         current = following
         if after == before:
             break
