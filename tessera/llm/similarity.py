@@ -1,0 +1,155 @@
+"""Groups of rows whose texts have a Jaccard similarity of at least 0.8 on shingles of five words, by an exact join of prefixes.
+
+Candidates. Two sets of n and m shingles with a similarity of 0.8 share at least 4 (n + m) / 9. So, if the shingles of all sets are put into
+one order, the first shingle that a pair shares lies within the first n div 5 + 1 of either set, and of both sets so many are left from there on.
+Any order gives the same pairs; one in which common shingles come last gives few candidates. Counts on a part of the rows say
+which are common. Every candidate is verified on the whole sets. Shingles are compared by their 64-bit hashes.
+
+Large groups. Pairs of a shingle that very many rows share would grow with the square of their number. Those rows are compared first with one
+of them, the one with the fewest shingles before the shared one; then only such pairs are verified whose rows aren't connected yet.
+
+Links go to distributed connected components. Only the bounded list of common shingles is collected.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch, components
+from .simhash import PAIRS_PER_KEY, SEED
+
+WORDS = 5
+#: Common shingles are found on one of so many rows, where at least so many rows have them; so many are listed at most.
+SAMPLE_PART = 16
+SAMPLE_LEAST = 3
+COMMON_MOST = 1 << 19
+#: Shingles that a pair must share among the first ones of both sets.
+SHARED = 3
+#: Shingles that are held at once in Python, besides those of one text.
+PART = 1 << 16
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, with words as in ``simhash.fingerprint``. Fewer words give one shingle, and so do none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= words:
+        return np.array([digest(line, SEED)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = np.concatenate(([0], ends[: len(tokens) - words]))
+    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, len(starts))
+    return np.unique(hashes.view(np.int64))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], order: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Row numbers and their shingles as ``order`` gives them, in parts of about ``PART`` shingles."""
+    for batch in batches:
+        rows, found, size = [], [], 0
+        for row, text in zip(batch.column(0), batch.column(1)):
+            rows.append(row.as_py())
+            found.append(order(shingles(text.as_py())))
+            size += len(found[-1])
+            if size >= PART:
+                yield np.array(rows, np.int64), found
+                rows, found, size = [], [], 0
+        if rows:
+            yield np.array(rows, np.int64), found
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """``(row, set)``"""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, found in _parts(batches, lambda s: s):
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["row", "set"])
+
+    return rows.select("row", "text").mapInArrow(of, "row long, set array<long>")
+
+
+def _prefixes(rows: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``(key, row, n, rest)`` for the first shingles of each row, in the order of their counts (0 if not listed) and hashes; from each on, ``rest`` of n are left."""
+
+    def ordered(own: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return own
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        return own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, found in _parts(batches, ordered):
+            sizes = np.array([len(s) for s in found], np.int32)
+            firsts = [s[: len(s) // 5 + SHARED] for s in found]
+            many = np.array([len(f) for f in firsts])
+            rest = np.concatenate([np.arange(n, n - m, -1, np.int32) for n, m in zip(sizes, many)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(own, many)), pa.array(np.repeat(sizes, many)), pa.array(rest)], ["key", "row", "n", "rest"])
+
+    return rows.select("row", "text").mapInArrow(of, "key long, row long, n int, rest int")
+
+
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    part = _sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE_PART)) == 0)).select(F.explode("set").alias("key"))
+    found = part.groupBy("key").count().where(F.col("count") >= SAMPLE_LEAST).orderBy(F.desc("count"), "key").limit(COMMON_MOST).toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def _enough(a: str, b: str, shared: int = 1) -> Column:
+    """Whether two sets can be similar if this is one of the first ``shared`` shingles that they share."""
+    return 9 * (F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) + shared - 1) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` whose similarity is at least 0.8."""
+    own = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = scratch.keep(_sets(rows.join(own, "row", "left_semi")), "sets")
+    # Both sides of the joins are written tables, so that adaptive execution can split a row with very many pairs.
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    out = scratch.keep(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    scratch.drop([sets])
+    return out
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, row: str, text: str = "text", pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
+    """``(row, group)`` for each row that is similar to another; ``group`` is the smallest row that can be reached by similar pairs.
+
+    ``row`` is a column of distinct integers that doesn't change when ``docs`` is read again. Null and empty texts and those of white space equal each
+    other. An empty table gives an empty result.
+    """
+    scratch = Scratch(spark, "similarity")
+    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
+    keyed = scratch.keep(_prefixes(rows, *_common(rows)), "keys")
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    members = scratch.keep(keyed.join(shared, "key"), "members")
+    scratch.drop([keyed, shared])
+
+    is_crowded = F.col("m") * (F.col("m") - 1) / 2 > pairs_per_key
+    crowded = members.where(is_crowded)
+    # What rows share among their crowded shingles isn't counted, so all of these count as shared.
+    uncounted = scratch.keep(crowded.groupBy("row").agg(F.count("*").alias("x")), "uncounted")
+    few = members.where(~is_crowded).join(uncounted, "row", "left").select("key", "row", "n", "rest", F.coalesce("x", F.lit(0)).alias("x"))
+    met = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & _enough("a", "b", SHARED))
+    need = F.least(F.lit(SHARED), F.ceil(4 * (F.col("a.n") + F.col("b.n")) / 9)) - F.least("a.x", "b.x")
+    met = met.select(F.col("a.row").alias("a"), F.col("b.row").alias("b"), need.alias("need")).groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    first = scratch.keep(crowded.groupBy("key").agg(F.min(F.struct((F.lit(0) - F.col("rest") / F.col("n")).alias("o"), "row", "n", "rest")).alias("l")).select("key", "l.row", "l.n", "l.rest"), "first")
+    star = crowded.alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")) & _enough("a", "b")).select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"))
+    pairs = scratch.keep(met.union(star).distinct(), "pairs")
+    links = _verified(rows, pairs, scratch)
+    groups = scratch.keep(components(spark, links, scratch), "groups")
+    if not first.isEmpty():
+        known = groups.select(F.col("node").alias("row"), "component")
+        open_ = scratch.keep(crowded.join(known, "row", "left").select("key", "row", "n", "rest", F.coalesce("component", "row").alias("own")), "open")
+        mixed = scratch.keep(open_.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key"), "mixed")
+        left = open_.join(mixed, "key", "left_semi")
+        more = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.own") < F.col("b.own")) & _enough("a", "b"))
+        more = more.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more_links = _verified(rows, scratch.keep(more, "pairs"), scratch)
+        if not more_links.isEmpty():
+            groups = scratch.keep(components(spark, links.union(more_links), scratch), "groups")
+    scratch.drop([members, first, pairs])
+    return groups.select(F.col("node").alias("row"), F.col("component").alias("group"))

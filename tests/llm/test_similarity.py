@@ -1,0 +1,56 @@
+"""Near-duplicates of the pipeline against the Jaccard similarity of all pairs."""
+
+import random
+
+import pytest
+
+from tessera.llm import similarity
+
+
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_groups(texts):
+    sets, label = [plain_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def texts_with_copies():
+    random.seed(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for size in (4, 20, 60, 150, 150):
+        base = random.choices(words, k=size)
+        for _ in range(40):
+            own = list(base)
+            for _ in range(random.randint(0, 5)):
+                at = random.randrange(len(own))
+                own[at : at + 1] = random.choice([[], [random.choice(words)], [random.choice(words), own[at]]])
+            texts.append(" ".join(own))
+    return texts + ["", "a b", "A  b"]
+
+
+@pytest.mark.parametrize("pairs", [4096, 0])
+@pytest.mark.parametrize("common", [3, 10**6])
+def test_groups(spark, monkeypatch, pairs, common):
+    monkeypatch.setattr(similarity, "SAMPLE_LEAST", common)
+    texts = texts_with_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row: r.group for r in similarity.similar_groups(spark, docs, "doc_id", pairs_per_key=pairs).collect()}
+    want = plain_groups(texts)
+    assert [got.get(i, i) for i in range(len(texts))] == want and 20 < len(set(want)) < len(texts) - 20
+
+
+def test_stage(spark):
+    import corpus_pipeline
+
+    texts = texts_with_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(plain_groups(texts))
