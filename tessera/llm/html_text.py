@@ -4,7 +4,8 @@ The html is read into a tree of containers and blocks of text. Menus, headers, f
 its class or id names as such. Each paragraph has points for its length and its commas; they pass to its parent in
 full and, halved at each step, to further ancestors, and a container's points are discounted by the share of its
 text that stands in links. The best container is kept with its siblings that have enough points of their own; an article around it
-is preferred to a part of it. The text is that of the blocks in page order.
+is preferred to a part of it. Where nothing is marked as the article, parts beside the container and beside those around it are kept by their own
+text: long text with few links, whole sentences, headings of what follows, and what stands between kept parts. The text is that of the blocks in page order.
 
 Pages are judged row by row: there is no shuffle and nothing to skew.
 """
@@ -51,6 +52,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: A class or id with one of these words is kept whatever other words it has.
 KEPT = frozenset("article content main body post entry story text".split())
 LEAST_SIBLING = 0.2
+#: Beside the best container, text of so many letters is part of the article if a smaller share than this stands in links.
+LONG_TEXT = 80
+LEAST_LINKS = 0.25
 #: A list or container of so many links with so large a share of its text in them is a menu.
 MENU_TAGS = frozenset("ul ol dl table div section p".split())
 MENU_LINKS = 3
@@ -257,7 +261,58 @@ def _main_nodes(root: Node) -> list[Node]:
         best = best.parent
     if best.parent is None:
         return [best]
-    return [s for s in best.parent.children if s is best or not s.out and (s.tag in BLOCKS and s.points >= max(LEAST_SIBLING * most, 3.0) or s.main)]
+    if top is not None:
+        return [s for s in best.parent.children if s is best or not s.out and (s.tag in BLOCKS and s.points >= max(LEAST_SIBLING * most, 3.0) or s.main)]
+    # Without a mark of the article, its parts may lie beside the best container on each level above it.
+    chosen, node = [best], best
+    while node.parent is not None:
+        parent = node.parent
+        total, linked = _bare(parent)
+        if total >= LONG_TEXT and linked < LEAST_LINKS * total:
+            chosen = [parent]  # its own text is part of the article
+        else:
+            beside = parent.children
+            kept = [s is node or not s.out and s.tag in BLOCKS and (s.points >= max(LEAST_SIBLING * most, 3.0) or _is_prose(s)) for s in beside]
+            last = max(i for i, k in enumerate(kept) if k)
+            first = kept.index(True)
+            for i in range(last - 1, -1, -1):
+                # A heading belongs to what follows, and short text to what it stands between.
+                s = beside[i]
+                if not kept[i] and not s.out and s.tag in BLOCKS and (_is_heading(s) or i > first):
+                    total, linked = _text(s)
+                    kept[i] = bool(total) and linked < LEAST_LINKS * total
+            at = beside.index(node)
+            chosen = [s for s, k in zip(beside[:at], kept) if k] + chosen + [s for s, k in zip(beside[at + 1 :], kept[at + 1 :]) if k]
+        node = parent
+    return chosen
+
+
+def _is_heading(node: Node) -> bool:
+    return node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
+
+
+def _is_prose(node: Node) -> bool:
+    """Whether a part beside the best container is text of the article: long text with few links, or a whole sentence without one."""
+    total, linked = _text(node)
+    if total >= LONG_TEXT:
+        return linked < LEAST_LINKS * total
+    return not linked and not _is_heading(node) and "\n".join(blocks(node)).rstrip("\"'”’»)").endswith((".", "!", "?", "…", ":", "。", "！", "？"))
+
+
+def _bare(node: Node) -> tuple[int, int]:
+    """Letters of text in a container outside of the blocks in it: all, and those in links."""
+    total = linked = 0
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        for part in x.parts:
+            if isinstance(part, str):
+                n = len(part.strip())
+                total += n
+                linked += n * x.link
+            elif not part.out and part.tag not in BLOCKS:
+                stack.append(part)
+    return total, linked
 
 
 def extract(html: str | None) -> str:
