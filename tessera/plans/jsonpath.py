@@ -2,7 +2,7 @@
 
 Root, children by name or index (negative from the end), slices, wildcards, recursive descent, unions of selectors, and filters with comparisons, existence, ``&&``,
 ``||``, ``!`` and parentheses. A path becomes a chain of array functions over variants, evaluated row by row without a shuffle;
-where it gives many values they are exploded at the end. Recursive descent unrolls to a documented depth.
+where it gives many values they are exploded at the end. Recursive descent unrolls some levels and walks on below them, to any depth.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that ``..`` goes down.
-MAX_DEPTH = 8
+#: Levels of ``..`` that are unrolled; those below are walked in a loop.
+UNROLLED = 8
 
 
 class PathError(ValueError):
@@ -268,13 +268,27 @@ def _chooser(selector: Any) -> Callable[[Column], Column]:
     return lambda v: _select(v, selector)
 
 
+def _below(level: Column) -> Column:
+    """All values below those of ``level``, level by level down to the last."""
+    none = _none()
+
+    def down(acc: Column, _: Column) -> Column:
+        following = F.flatten(F.transform(acc["level"], _members))
+        return F.when(F.size(acc["level"]) > 0, F.struct(following.alias("level"), F.concat(acc["all"], following).alias("all"))).otherwise(acc)
+
+    # There are at most as many levels as opening brackets, those in strings included.
+    brackets = F.aggregate(level, F.lit(0), lambda n, v: n + F.coalesce(F.regexp_count(F.to_json(v), F.lit(r"[\[{]")), F.lit(0)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), brackets)), F.struct(level.alias("level"), none.alias("all")), down, lambda acc: acc["all"])
+    return F.when(F.exists(level, lambda v: F.size(_members(v)) > 0), walked).otherwise(none)
+
+
 def _apply(found: Column, step: Step) -> Column:
     if step.deep:
         level, levels = found, [found]
-        for _ in range(MAX_DEPTH):
+        for _ in range(UNROLLED):
             level = F.flatten(F.transform(level, _members))
             levels.append(level)
-        found = F.concat(*levels)
+        found = F.concat(*levels, _below(level))
     parts = [F.flatten(F.transform(found, _chooser(s))) for s in step.selectors]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
