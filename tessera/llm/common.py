@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and runs on one machine, as in local tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/tessera-checkpoints"
+#: Rows and bytes of an Arrow batch that goes to a Python worker, at most. Texts are long, so Spark's own bounds let a worker and its task hold hundreds of MB.
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,17 +25,39 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, for operators that hand texts to Python. Smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only a session on one machine may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (root or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
+def rows_marked(spark: SparkSession, docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """``docs`` with a column ``name`` that tells rows apart and stays the same when they are read again.
+
+    Rows that are read from Parquet go by their file and place in it, which costs nothing; others are numbered in a written table.
+    """
+    if "_metadata#" in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return scratch.keep(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to fix results that must not be computed twice.
 
     A lost executor costs a task that reads a file again, never the steps before the table.
-    ``keep`` writes a table; ``drop`` deletes tables that no later step reads.
+    ``keep`` writes a table; ``drop`` deletes tables that no later step reads, and lets Spark delete shuffle files of finished steps (it does so when
+    the driver's garbage is collected).
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -54,6 +80,7 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def _mark(edges: DataFrame):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import load, small_batches, text_or_empty
 
 Q = 16
 #: Edits allowed, as a share of an item's length.
@@ -161,6 +161,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
     places of an item the one with the fewest edits, then the first, is given. Repeated rows, keys and items give as many rows. Other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     kind, item_kind = rows.schema["k"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     out = None
@@ -185,6 +186,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
 
 def clean(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no item occurs. Null and empty texts stay."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark.select(F.lit(0).alias("i"), F.col(item_text).alias("t")), "i", "t", block_bytes):
         docs = docs.where(~_contains(items, edit_rate)(text_or_empty(text)))
     return docs

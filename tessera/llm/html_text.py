@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import load, small_batches, text_or_empty
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -328,6 +328,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
     Null html counts as empty. Keys and urls may be null or repeat. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), text_or_empty(html).alias("h"))
 
     @F.pandas_udf("string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, text_or_empty
+from .common import Scratch, load, small_batches, text_or_empty
 
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -234,6 +234,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, size: int = SIZE,
     ``size`` are cut into pieces of ``size``, the last one may be shorter. Rows of a sequence lie gapless from 0. Repeated rows and
     keys are packed each; an empty table gives an empty result. Other columns are not read.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "packing")
     pieces = scratch.keep(pieces_of(docs, tokenizer, size, key, text), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))

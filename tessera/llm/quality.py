@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, small_batches
 from .learning import SAMPLE_ROWS, held_out, labelled_sample
 
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -154,6 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"], "label": batch["label"].astype("int32"), "x": [statistics(t) for t in batch["text"]]})
 
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, rows, key, text).select(F.col("k_").cast("string").alias("k"), "label", "text")
     got = sample.mapInPandas(of, "k string, label int, x array<double>").toPandas().sort_values("k", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(STATISTICS))
@@ -172,6 +173,7 @@ def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text"
             x = np.array([statistics(t) for t in batch], float).reshape(-1, len(STATISTICS))
             yield pd.Series(model.score(x))
 
+    small_batches(docs.sparkSession)
     out = docs.select(F.col(key).alias("k"), held_out(key).alias("held_out"), of(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("score"))
     return out.select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -1,6 +1,6 @@
-"""Near-duplicate detection on 64-bit SimHash fingerprints, with Golay-code fuzzy hashing.
+"""Near-duplicate detection on SimHash fingerprints, with Golay-code fuzzy hashing: by differing bits, or by similarity of shingles.
 
-Candidates. A fingerprint is cut into three segments of 22, 21 and 21 bits, padded to the 23 bits of the binary Golay code.
+By bits (``near_duplicates``). A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, padded to the 23 bits of the binary Golay code.
 If two fingerprints differ in at most two bits, then by the pigeonhole principle some segment has no error and
 one of the other two has at most one. The perfect code decodes a segment to the one codeword within three bits; a segment one bit away has
 that codeword within four. So each fingerprint is stored under six keys (an exact segment and the index of the
@@ -13,22 +13,35 @@ a key, pairs within the key would grow with the square of the group. Those finge
 one-bit neighbourhoods: two fingerprints differ in at most two bits exactly if both are within one bit of some value,
 so each sends itself to 65 values, and a value links all that it gets (65 at most) to the smallest. This is linear and misses nothing.
 
+By similarity (``similar_documents``). Texts with a Jaccard similarity of 0.8 differ in 15 of 100 bits, far too many for a short fingerprint, so wide ones
+are taken: 253 bits in eleven segments of 23, the length of the code. A segment is decoded softly: with the sums that its bits are the signs of, the code
+words near it are those that flip the least sum in all, and they are found by flipping the five weakest bits in all ways and decoding each outcome. Where two
+fingerprints differ, they do so in weak bits mostly, so their lists of near code words meet often. By the pigeonhole principle, of
+eleven triples of segments that use each segment three times, some have no more errors than the mean, so a document goes under the
+best combinations of near code words of each triple (36 bits, and the triple). Documents that share a key are candidates; those whose fingerprints differ too much
+are dropped, and the rest are verified by the Jaccard similarity of their whole sets. How many similar pairs meet is measured (see README).
+
+Keys that very many documents share don't give all their pairs. First each document of a key is compared with the least one of it, which is linear, and
+what is linked falls into components; then only documents of a key that are in different components are compared with each other, so no pair that shares a key and
+could still connect anything is left out. Texts with equal sets are one from the start.
+
 Links go to distributed connected components. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, load
+from .common import Scratch, components, load, rows_marked, small_batches
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -164,6 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, key: s
     empty texts, and those of white space, have fingerprint zero and link like any other. Null keys are never a component's id unless
     it has no other. Repeated rows and keys give as many rows. An empty table gives an empty result. Other columns are not read.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "simhash")
     marked = scratch.keep(docs.select(F.col(key).alias("k"), fingerprints(F.col(text).cast("string"), words).alias("fp")), "fingerprints")
     fps = scratch.keep(marked.groupBy("fp").agg(F.min("k").alias("k")), "distinct")
@@ -174,5 +188,189 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, key: s
     return marked.join(of_fp, "fp").select(F.col("k").alias(key), "fp", "component_id")
 
 
+# ---- by similarity
+
+WORDS = 5
+LEAST = 0.8
+#: Bits of a segment, segments of a wide fingerprint, and 64-bit numbers that hold it.
+SEGMENT, WIDE, NUMBERS = 23, 11, 4
+#: Triples of segments, by their distances from the first; each segment is in three of them.
+TRIPLE = (0, 1, 3)
+#: Weakest bits of a segment that are flipped, near code words that are listed, and combinations of a triple that give keys.
+WEAK, LISTED, COMBINED = 5, 6, 10
+#: Bits in which fingerprints of similar texts differ at most: the mean at a similarity of 0.8 is 38, with a deviation of 6.
+MOST_BITS = 68
+#: Texts that are decoded at once.
+_TOGETHER = 64
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, with words as in ``fingerprint``. Fewer words give one shingle, and so do none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= words:
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = np.concatenate(([0], ends[: len(tokens) - words]))
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, len(starts)))
+
+
+def sums(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the wide fingerprint how many more hashes have it than have it not. Each hash is drawn out to 256 bits by mixing."""
+    out = np.zeros(64 * NUMBERS, np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = hashes[at : at + 16384, None] + np.arange(NUMBERS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
+        out += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return 2 * out - len(hashes)
+
+
+def codewords_by_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For segments given by the sums of their bits (... x 23) the nearest code words' indices and what they flip (... x LISTED; infinite where there are fewer)."""
+    z = np.asarray(z, np.float32)
+    hard = ((z > 0).astype(np.int64) << np.arange(SEGMENT)).sum(-1)
+    weak = np.argpartition(np.abs(z), WEAK, axis=-1)[..., :WEAK]
+    flips = np.left_shift(1, weak) @ (np.arange(1 << WEAK) >> np.arange(WEAK)[:, None] & 1)
+    tried = hard[..., None] ^ flips
+    index = codewords_near(tried.ravel())[:, 0].reshape(tried.shape)
+    message = index << 11
+    changed = (message ^ _syndromes(message)) ^ hard[..., None]
+    cost = np.einsum("...pb,...b->...p", (changed[..., None] >> np.arange(SEGMENT) & 1).astype(np.float32), np.abs(z))
+    order = np.argsort(index, axis=-1, kind="stable")
+    index, cost = np.take_along_axis(index, order, -1), np.take_along_axis(cost, order, -1)
+    cost[..., 1:][index[..., 1:] == index[..., :-1]] = np.inf
+    order = np.argsort(cost, axis=-1, kind="stable")[..., :LISTED]
+    return np.take_along_axis(index, order, -1), np.take_along_axis(cost, order, -1)
+
+
+_GRID = np.stack(np.meshgrid(*[np.arange(LISTED)] * 3, indexing="ij")).reshape(3, -1)
+
+
+def wide_keys(z: np.ndarray) -> list[np.ndarray]:
+    """The keys of fingerprints given by the sums of their bits (n x 256)."""
+    index, cost = codewords_by_sums(z[:, : WIDE * SEGMENT].reshape(len(z), WIDE, SEGMENT))
+    found = []
+    for first in range(WIDE):
+        own = [(first + d) % WIDE for d in TRIPLE]
+        total = sum(cost[:, s][:, g] for s, g in zip(own, _GRID))
+        best = np.argpartition(total, COMBINED - 1, axis=1)[:, :COMBINED]
+        key = np.full(best.shape, first, np.int64)
+        for s, g in zip(own, _GRID):
+            key = key << 12 | np.take_along_axis(index[:, s], g[best], 1)
+        found.append(np.where(np.isfinite(np.take_along_axis(total, best, 1)), key, -1))
+    return [row[row >= 0] for row in np.concatenate(found, 1)]
+
+
+_MARKED = "n int, same binary, f0 long, f1 long, f2 long, f3 long, keys array<long>"
+
+
+def _marks(words: int, others: int):
+    """Size and 128-bit hash of the set of shingles, the fingerprint and its keys; the first ``others`` columns stay."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _TOGETHER):
+                part = batch.slice(at, _TOGETHER)
+                sets = [shingles(t.as_py(), words) for t in part.column(others)]
+                z = np.stack([sums(s) for s in sets])
+                bits = np.packbits(z > 0, axis=1, bitorder="little").view("<i8")
+                keys = wide_keys(z)
+                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:others], pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(NUMBERS)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    names=[*part.schema.names[:others], "n", "same", "f0", "f1", "f2", "f3", "keys"],
+                )
+
+    return of
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """``(row, set)`` of ``rows(row, text)``"""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _TOGETHER):
+                part = batch.slice(at, _TOGETHER)
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["row", "set"])
+
+    return rows.select("row", "text").mapInArrow(of, "row long, set array<long>")
+
+
+def _close(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` whose fingerprints and sizes allow their similarity."""
+    for side in "ab":
+        pairs = pairs.join(marked.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(NUMBERS)]), side)
+    bits = sum((_apart(f"a{i}", f"b{i}") for i in range(1, NUMBERS)), _apart("a0", "b0"))
+    return pairs.where((bits <= MOST_BITS) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6)).select("a", "b")
+
+
+def _verified(texts: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more. ``texts`` has the columns mark, text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(marked.select("row", "mark"), "row")
+    sets = scratch.keep(_sets(texts.join(wanted, "mark"), words), "sets")
+    # Both sides of the joins are written tables, so that adaptive execution can split a row with very many pairs.
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    out = scratch.keep(both.where(shared * F.lit(1 + least) >= (F.size("x") + F.size("y")) * F.lit(least) - 1e-6).select("a", "b"), "similar")
+    scratch.drop([sets])
+    return out
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: key, component_id, kept, and ``mark`` if a column of that name is given.
+
+    Rows link if the Jaccard similarity of their shingles of ``words`` words is ``least`` or more; component_id is the smallest key that can be reached,
+    and ``kept`` is true for one row of each component, that with the smallest key, null last. ``mark`` names a column that tells rows apart, as ``common.rows_marked`` makes
+    it. Null and empty texts and those of white space equal each other; texts of fewer words are one shingle. Whole texts are read, however long. Repeated
+    rows and keys give as many rows. An empty table gives an empty result. Other columns are not read.
+    """
+    small_batches(spark)
+    scratch = Scratch(spark, "similar")
+    own = mark or "mark"
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), *([F.col(mark)] if mark else []))
+    rows = (rows if mark else rows_marked(spark, rows, own, scratch)).select("k", F.col(own).alias("mark"), "text")
+    kinds = rows.select("k", "mark").schema
+    marks = rows.select("k", "mark", "text").mapInArrow(_marks(words, 2), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kinds], _MARKED]))
+    marked = scratch.keep(marks.withColumn("row", F.monotonically_increasing_id()), "marked")
+    first = scratch.keep(marked.groupBy("same", "n").agg(F.min("row").alias("first")), "first")
+    named = scratch.keep(marked.select("row", "k", "same", "n").join(first, ["same", "n"]).select("row", "k", "first"), "named")
+
+    # Keys of one row only are counted away; what is left goes by the first row with the same set, so that copies cost nothing further.
+    keyed = marked.select("row", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    met = scratch.keep(keyed.join(scratch.keep(shared, "shared"), "key"), "met")
+    members = scratch.keep(met.join(named.select("row", "first"), "row").select("key", F.col("first").alias("row")).distinct(), "members")
+    scratch.drop([first, met])
+    pivots = scratch.keep(members.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("m")).where("m > 1").select("key", "least"), "pivots")
+    members = scratch.keep(members.join(pivots, "key"), "members")
+    tested = scratch.keep(_close(members.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), marked, least), "tested")
+    links = _verified(rows, marked, tested, words, least, scratch)
+    groups = components(spark, links, scratch)
+
+    # What shares a key and isn't connected yet.
+    known = scratch.keep(members.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("c")), "known")
+    mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y AND m > 2").select("key")
+    left = scratch.keep(known.join(mixed, "key", "left_semi"), "left")
+    more = left.alias("p").join(left.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.row") < F.col("q.row")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
+    more = scratch.keep(_close(more.distinct(), marked, least).join(tested, ["a", "b"], "left_anti"), "more")
+    scratch.drop([members, known, left, tested])
+    if not more.isEmpty():
+        found = _verified(rows, marked, more, words, least, scratch)
+        if not found.isEmpty():
+            groups = components(spark, links.union(found), scratch)
+
+    whole = named.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("row", "k", F.coalesce("component", "first").alias("component"))
+    whole = scratch.keep(whole, "whole")
+    best = whole.groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("z"), F.col("k").alias("k"), F.col("row").alias("row"))).alias("best"))
+    out = whole.join(scratch.keep(best, "best"), "component").select("row", F.col("k"), F.col("best.k").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    if mark is None:
+        return out.select(F.col("k").alias(key), "component_id", "kept")
+    return out.join(marked.select("row", "mark"), "row").select(F.col("k").alias(key), "component_id", "kept", F.col("mark").alias(mark))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, load(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

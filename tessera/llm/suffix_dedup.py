@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, text_or_empty
+from .common import Scratch, load, small_batches, text_or_empty
 
 LENGTH = 200
 ANCHOR = 32
@@ -166,7 +166,7 @@ def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
 
 def _parts(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
     """A very long text in parts that overlap so that each string of ``length`` bytes lies in one, with their places."""
-    step = _BATCH * 4
+    step = _BATCH
     for at in range(0, max(1, len(data) - length + 1), step):
         yield at, data[at : at + step + length - 1]
 
@@ -237,6 +237,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     text or another one; strings are judged on the input and matches never cross documents. Repeated rows are copies of each
     other like any. Keys may be null or repeat; an empty table gives an empty result. Other columns are not read.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
     # A text goes by its hash (x) and its length (y).
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumns({"x": F.xxhash64("t"), "y": F.octet_length("t").cast("long")})

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, small_batches
 from .learning import SAMPLE_ROWS, held_out, labelled_sample
 
 BUCKETS = 1 << 22
@@ -156,6 +156,7 @@ def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-5, count
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``rows`` labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     return fit(_gather(labelled_sample(docs, labels, label, rows, key, text)))
 
 
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     Null text counts as empty. Keys may be null or repeat. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     out = docs.select(F.col(key).alias("k"), held_out(key).alias("held_out"), score_column(model, text).alias("score"))
     return out.select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

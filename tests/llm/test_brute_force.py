@@ -70,8 +70,9 @@ def test_suffix_dedup_periodic(spark):
 
 
 def test_names_do_not_depend_on_hashes(spark, monkeypatch):
-    """Blocks whose hashes clash are told apart by their bytes."""
-    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.lit(7).cast("long") if isinstance(c, str) and c == "block" else F.hash(c).cast("long"))
+    """Blocks whose hashes clash are told apart: with the first seed all blocks have one hash, with the second those with the same first letter."""
+    plain = exact_dedup.block_hash
+    monkeypatch.setattr(exact_dedup, "block_hash", lambda c, seed: plain(F.lit("x") if seed == 0 else F.substring(c, 1, 1) if seed == 1 else c, seed))
     texts = ["aaaa", "aaab", "aaaabbbb", "aaaabbbc", "aaaabbbb ", "", "aaaabbbbcccc", "aaaabbbbcccd"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, frame, block_bytes=4).collect()}
