@@ -56,8 +56,8 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage and to fix results that must not be computed twice.
 
     A lost executor costs a task that reads a file again, never the steps before the table.
-    ``keep`` writes a table; ``drop`` deletes tables that no later step reads, and lets Spark delete shuffle files of finished steps (it does so when
-    the driver's garbage is collected).
+    ``keep`` writes a table and has the driver collect its garbage, on which Spark deletes the shuffle files of the step; ``drop`` deletes tables
+    that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -69,6 +69,7 @@ class Scratch:
         self._made += 1
         path = f"{self.root}/{self._made:03d}-{tag}"
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -80,7 +81,6 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def _mark(edges: DataFrame):

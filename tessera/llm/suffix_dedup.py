@@ -242,10 +242,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     # A text goes by its hash (x) and its length (y).
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumns({"x": F.xxhash64("t"), "y": F.octet_length("t").cast("long")})
     found = scratch.keep(rows.select("t", "x", "y").mapInPandas(_segment_rows(length), "a long, g long, x long, y long, s long, m long, p long"), "segments")
-    anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("n > 1")
-    anchors = scratch.keep(anchors.select("a", (F.col("low") != F.col("high")).alias("open")), "anchors")
-    again = scratch.keep(found.join(anchors, "a").select("x", "y", "s", "m", F.when(F.col("open"), F.struct("a", "g", "p")).alias("o")).distinct(), "again")
+    anchors = scratch.keep(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
+    shared = scratch.keep(found.join(anchors, "a"), "shared")
     scratch.drop([found, anchors])
+    kinds = scratch.keep(shared.groupBy("a").agg(F.min("g").alias("low"), F.max("g").alias("high")).select("a", (F.col("low") != F.col("high")).alias("open")), "kinds")
+    again = scratch.keep(shared.join(kinds, "a").select("x", "y", "s", "m", F.when(F.col("open"), F.struct("a", "g", "p")).alias("o")).distinct(), "again")
+    scratch.drop([shared, kinds])
     is_open = F.col("o").isNotNull()
     of_text = again.groupBy("x", "y").agg(
         F.array_sort(F.collect_list(F.when(~is_open, F.struct("s", "m")))).alias("closed"), F.array_sort(F.collect_list(F.when(is_open, F.struct("s", "m", "o.a", "o.g", "o.p")))).alias("left")
