@@ -21,9 +21,9 @@ eleven triples of segments that use each segment three times, some have no more
 best combinations of near code words of each triple (36 bits, and the triple). Documents that share a key are candidates; those whose fingerprints differ too much
 are dropped, and the rest are verified by the Jaccard similarity of their whole sets. How many similar pairs meet is measured (see README).
 
-Keys that very many documents share don't give all their pairs. First each document of a key is compared with the least one of it, which is linear, and
-what is linked falls into components; then only documents of a key that are in different components are compared with each other, so no pair that shares a key and
-could still connect anything is left out. Texts with equal sets are one from the start.
+Keys that very many documents share don't give all their pairs. First each document of a key is compared with the one of it that meets the most others, which is linear, and
+what is linked falls into components; then another document of the key is compared with those of other components, and so on until a round links nothing
+more. All pairs of a key are never made: a group of near copies would give the square of its number. Texts with equal sets are one from the start.
 
 Links go to distributed connected components. Nothing is collected.
 """
@@ -199,7 +199,7 @@ TRIPLE = (0, 1, 3)
 #: Weakest bits of a segment that are flipped, near code words that are listed, and combinations of a triple that give keys.
 WEAK, LISTED, COMBINED = 5, 6, 10
 #: Bits in which fingerprints of similar texts differ at most: the mean at a similarity of 0.8 is 38, with a deviation of 6.
-MOST_BITS = 68
+MOST_BITS = 58
 #: Texts that are decoded at once.
 _TOGETHER = 64
 
@@ -345,23 +345,37 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     met = scratch.keep(keyed.join(scratch.keep(shared, "shared"), "key"), "met")
     members = scratch.keep(met.join(named.select("row", "first"), "row").select("key", F.col("first").alias("row")).distinct(), "members")
     scratch.drop([first, met])
-    pivots = scratch.keep(members.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("m")).where("m > 1").select("key", "least"), "pivots")
-    members = scratch.keep(members.join(pivots, "key"), "members")
-    tested = scratch.keep(_close(members.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), marked, least), "tested")
-    links = _verified(rows, marked, tested, words, least, scratch)
-    groups = components(spark, links, scratch)
-
-    # What shares a key and isn't connected yet.
-    known = scratch.keep(members.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("c")), "known")
-    mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y AND m > 2").select("key")
-    left = scratch.keep(known.join(mixed, "key", "left_semi"), "left")
-    more = left.alias("p").join(left.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.row") < F.col("q.row")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
-    more = scratch.keep(_close(more.distinct(), marked, least).join(tested, ["a", "b"], "left_anti"), "more")
-    scratch.drop([members, known, left, tested])
-    if not more.isEmpty():
-        found = _verified(rows, marked, more, words, least, scratch)
-        if not found.isEmpty():
-            groups = components(spark, links.union(found), scratch)
+    sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    sized = scratch.keep(members.join(scratch.keep(sizes, "sizes"), "key"), "sized")
+    scratch.drop([members])
+    # A row that meets very many others lies in the midst of them, so it is the one to compare the others of its keys with.
+    weights = scratch.keep(sized.groupBy("row").agg(F.sum("m").alias("weight")), "weights")
+    members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight"), "weighed")
+    scratch.drop([sized, weights])
+    groups, links, tested, rest = None, None, None, members
+    while True:
+        # In each key one more row is compared with the others of the key that it isn't connected with.
+        if groups is None:
+            known = rest.withColumn("c", F.col("row"))
+            pivots = known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
+        else:
+            known = scratch.keep(rest.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", "weight", F.coalesce("component", "row").alias("c")), "known")
+            # A row outside of the key's largest weight's component, as that one has been compared from its midst.
+            heads = known.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("h"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key", F.col("h.c").alias("head"))
+            apart = known.join(scratch.keep(heads, "heads"), "key").where("c <> head")
+            pivots = apart.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
+        pivots = scratch.keep(pivots.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.c").alias("own")), "pivots")
+        met = scratch.keep(known.join(pivots, "key").where("row <> pivot"), "met")
+        pairs = met.where("c <> own").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        fresh = scratch.keep(_close(pairs, marked, least), "tested")
+        found = _verified(rows, marked, fresh, words, least, scratch)
+        if groups is not None and found.isEmpty():
+            break
+        tested = fresh if tested is None else tested.union(fresh)
+        links = found if links is None else links.union(found)
+        groups = components(spark, links, scratch)
+        rest = met.select("key", "row", "weight")
 
     whole = named.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("row", "k", F.coalesce("component", "first").alias("component"))
     whole = scratch.keep(whole, "whole")
