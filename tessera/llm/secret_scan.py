@@ -1,17 +1,19 @@
 """Secret scan with DataFrame functions only.
 
 Base kinds are regular expressions: assignments, access keys and runs of hexadecimal digits. The method adds spans of
-high entropy: over candidate strings (long runs of token characters) a window slides, the Shannon entropy of its characters is
-kept up to date by incremental counts (a step changes only the counts of the character that leaves and of the one that enters), and
+high entropy: over candidate strings (long runs of token characters) a window slides, the counts of its characters and their Shannon entropy are
+kept up to date incrementally (a step changes only the counts of the character that leaves and of the one that enters), and
 windows over the limit of the candidate's character class become spans, overlapping ones united. An allow-list suppresses
-candidates that only look random.
+candidates that only look random, and windows that overlap a word of it.
 
-Every row is judged by itself: there is no shuffle and nothing to skew. Texts without a hit cost one scan a pattern.
+Every row is judged by itself: there is no shuffle and nothing to skew. Texts without a hit cost one scan a pattern. Work is in proportion to a text's
+length: long candidates and long lists of matches are taken in parts, and no pattern recurses or backtracks over what it has matched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of token characters; an equals sign only pads at their ends, so that a name and its value are apart.
+CANDIDATE = r"[A-Za-z0-9+/_-]{18,}={0,2}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Least entropy in bits by class of a candidate, in the order in which classes are tried: the class, its pattern, the limit.
 CLASSES = [
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
@@ -34,21 +38,31 @@ CLASSES = [
     ("base64", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", 3.8),
     ("letters", r"^(?=.*[a-z][A-Z])(?=.*[A-Z][a-z])[A-Za-z]+$", 4.0),
 ]
-#: Candidates that are no secrets: UUIDs, words joined by marks, paths, counting and the alphabet, one group repeated.
+#: Candidates that are no secrets: UUIDs, words joined by marks, paths, one group repeated. Possessive, as what repeats can be matched in one way only.
 ALLOWED = [
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^[0-9]*([A-Za-z]+[-_/=+]+)+[A-Za-z]*[0-9]{0,4}$",
-    r"^/?([A-Za-z0-9_-]{1,12}/){2,}[A-Za-z0-9_-]{0,12}$",
-    r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop|example|placeholder|changeme",
+    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+    r"^[0-9]*+(?:[A-Za-z]++[-_/=+]++)++[A-Za-z]*+[0-9]{0,4}$",
+    r"^/?+(?:[A-Za-z0-9_-]{1,12}+/){2,}+[A-Za-z0-9_-]{0,12}$",
     r"^(.{1,8}?)\1{2,}.{0,8}$",
 ]
+#: Words, in letters of any case, that no window may overlap.
+ALLOWED_WORDS = ["0123456789", "1234567890", "abcdefghij", "qwertyuiop", "example", "placeholder", "changeme"]
+_ANY_WORD = "(?i)" + "|".join(ALLOWED_WORDS)
+#: What a character of such a word is replaced by.
+BLOCKED = "!"
+#: Windows of a candidate that are taken together, at most.
+PART = 2048
 
 
 SPANS = "array<struct<s:int,k:int,e:int>>"
+_NONE = "array<struct<s:int,e:int>>"
 
 
 def _walk(text: Column, pattern: str, spans: Callable[[Column, Column], Column]) -> Column:
-    """Spans of a text: ``spans(hit, start)`` gives those of each leftmost match. Gaps and matches are cut out once and walked over once."""
+    """Spans of a text: ``spans(hit, start)`` gives those of each leftmost match.
+
+    Gaps and matches are cut out once and walked over in blocks of about the square root of their number, as adding to a list copies it.
+    """
     none = F.array().cast(SPANS)
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
@@ -57,8 +71,18 @@ def _walk(text: Column, pattern: str, spans: Callable[[Column, Column], Column])
         own = spans(part["hit"], start)
         return F.struct((start + F.coalesce(F.char_length(part["hit"]), F.lit(0))).alias("at"), F.when(F.size(own) > 0, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def moved(acc: Column, block: Column) -> Column:
+        here = F.transform(block["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), x["k"].alias("k"), (x["e"] + acc["at"]).alias("e")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], here).alias("out"))
+
+    def walked(all_parts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        many = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(all_parts)))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / many).cast("int")), lambda b: F.aggregate(F.slice(all_parts, b * many + 1, many), begin, step))
+        return F.aggregate(blocks, begin, moved, lambda acc: acc["out"])
+
+    # The lambda has the parts at hand, so that they are cut out once.
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(parts), walked))).otherwise(none)
 
 
 def _base(text: Column, pattern: str, kind: int, value: int | None = None) -> Column:
@@ -71,36 +95,55 @@ def _base(text: Column, pattern: str, kind: int, value: int | None = None) -> Co
     return _walk(text, pattern, own)
 
 
-def _entropy_hits(candidate: Column, limit: Column) -> Column:
-    """Offsets in a candidate at which a window of high entropy starts.
+def _entropy_hits(codes: Column, limit: Column) -> Column:
+    """Spans ``(s, e)`` that windows of high entropy unite to. ``codes`` has the characters' places in the alphabet, 0 for a blocked one.
 
-    ``s`` is the sum of n log2 n over the counts n of the window's characters; the entropy is log2(w) - s / w.
+    ``sum`` is the sum of n log2 n over the counts n of the window's characters; the entropy is log2(w) - sum / w.
     """
-    w = WINDOW
+    w, none = WINDOW, F.array().cast(_NONE)
+    xlogx = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(w + 1)])
+
+    def put(counts: Column, code: Column, more: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), code), F.array(F.get(counts, code) + more), F.slice(counts, code + 2, F.lit(len(ALPHABET) + 1)))
+
+    def leave(acc: Column, at: Column) -> Column:
+        code = F.get(codes, at - w)
+        n = F.get(acc["counts"], code)
+        return F.when(at >= w, F.struct(put(acc["counts"], code, -1).alias("counts"), (acc["sum"] + F.get(xlogx, n - 1) - F.get(xlogx, n)).alias("sum"))).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
+
+    def enter(acc: Column, at: Column) -> Column:
+        code = F.get(codes, at)
+        n = F.get(acc["counts"], code)
+        return F.struct(put(acc["counts"], code, 1).alias("counts"), (acc["sum"] + F.get(xlogx, n + 1) - F.get(xlogx, n)).alias("sum"))
 
-    def xlogx(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    def note(now: Column, acc: Column, at: Column) -> Column:
+        start, end = at - (w - 1), at + 1
+        high = (at >= w - 1) & (F.get(now["counts"], F.lit(0)) == 0) & (log2(w) - now["sum"] / w >= limit - 1e-9)
+        joins = high & (acc["e"] >= start)
+        closed = F.when(high & ~joins & (acc["e"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+        return F.struct(
+            now["counts"].alias("counts"), now["sum"].alias("sum"), F.when(high & ~joins, start).otherwise(acc["s"]).alias("s"), F.when(high, end).otherwise(acc["e"]).alias("e"), closed.alias("out")
+        )
 
-    def count_in(window: Column, char: Column) -> Column:
-        return F.char_length(window) - F.char_length(F.replace(window, char, F.lit("")))
+    def step(acc: Column, at: Column) -> Column:
+        # A lambda over one value holds it, so that it is computed once.
+        left = F.transform(F.array(leave(acc, at)), lambda x: enter(x, at))
+        return F.get(F.transform(left, lambda now: note(now, acc, at)), F.lit(0))
 
-    def high(s: Column) -> Column:
-        return F.log2(F.lit(float(w))) - s / w >= limit - 1e-9
+    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("s"), F.lit(-1).alias("e"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), begin, step, lambda acc: F.when(acc["e"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]))
 
-    first = F.substring(candidate, F.lit(1), F.lit(w))
-    # A character that occurs n times adds log2 n at each of its n places.
-    start = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda s, i: s + F.log2(count_in(first, F.substring(first, i, F.lit(1))).cast("double")))
 
-    def step(acc: Column, i: Column) -> Column:
-        leaves, enters = F.substring(candidate, i, F.lit(1)), F.substring(candidate, i + w, F.lit(1))
-        rest = F.substring(candidate, i + 1, F.lit(w - 1))
-        n, m = count_in(rest, leaves), count_in(rest, enters)
-        s = acc["s"] + xlogx(n) - xlogx(n + 1) + xlogx(m + 1) - xlogx(m)
-        return F.struct(s.alias("s"), F.when(high(s), F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
+def _united(spans: Column) -> Column:
+    """Spans ``(s, e)`` in order, those that overlap or touch united."""
 
-    begin = F.struct(start.alias("s"), F.when(high(start), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("at"))
-    steps = F.char_length(candidate) - w
-    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), begin, step, lambda acc: acc["at"])).otherwise(begin["at"])
+    def add(acc: Column, x: Column) -> Column:
+        joins = x["s"] <= acc["e"]
+        closed = F.when(~joins & (acc["e"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+        return F.struct(F.when(joins, acc["s"]).otherwise(x["s"]).alias("s"), x["e"].alias("e"), closed.alias("out"))
+
+    begin = F.struct(F.lit(0).alias("s"), F.lit(-1).alias("e"), F.array().cast(_NONE).alias("out"))
+    return F.aggregate(spans, begin, add, lambda acc: F.when(acc["e"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"]))
 
 
 def _limit(candidate: Column) -> Column:
@@ -111,26 +154,40 @@ def _limit(candidate: Column) -> Column:
     classed = F.lit(None).cast("double")
     for _, pattern, limit in reversed(CLASSES):
         classed = F.when(candidate.rlike(pattern), F.lit(limit)).otherwise(classed)
-    return F.when(~allowed, classed)
+    return F.when(~allowed & (F.char_length(candidate) >= WINDOW), classed)
+
+
+def _blocked(candidate: Column) -> Column:
+    """A candidate whose allowed words are blocked out, each by as many characters."""
+    out = candidate
+    for word in ALLOWED_WORDS:
+        out = F.regexp_replace(out, f"(?i){word}", BLOCKED * len(word))
+    return F.when(candidate.rlike(_ANY_WORD), out).otherwise(candidate)
 
 
 def _entropy_spans(text: Column) -> Column:
     """Spans of high entropy; windows of a candidate that overlap or touch are united."""
     kind, none = F.lit(KINDS.index("entropy")), F.array().cast(SPANS)
 
-    def own(candidate: Column, start: Column) -> Column:
-        def add(acc: Column, at: Column) -> Column:
-            last, end = F.element_at(acc, -1), start + at + WINDOW
-            alone = F.array(F.struct((start + at).alias("s"), kind.alias("k"), end.alias("e")))
-            joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), kind.alias("k"), end.alias("e"))))
-            return F.when(F.size(acc) == 0, alone).when(last["e"] >= start + at, joined).otherwise(F.concat(acc, alone))
+    def in_codes(codes: Column, limit: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(codes) - WINDOW), F.lit(PART))
+        parts = F.transform(starts, lambda at: F.transform(_entropy_hits_of(codes, at, limit), lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"))))
+        return _united(F.flatten(parts))
 
-        limit = _limit(candidate)
-        return F.when(limit.isNotNull(), F.aggregate(_entropy_hits(candidate, limit), none, add)).otherwise(none)
+    def own(candidate: Column, start: Column) -> Column:
+        codes = F.transform(F.split(_blocked(candidate), ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        judged = F.transform(F.array(F.struct(codes.alias("codes"), _limit(candidate).alias("limit"))), lambda x: in_codes(x["codes"], x["limit"]))
+        spans = F.transform(F.flatten(judged), lambda x: F.struct((start + x["s"]).alias("s"), kind.alias("k"), (start + x["e"]).alias("e")))
+        return F.when(_limit(candidate).isNotNull(), spans).otherwise(none)
 
     return _walk(text, CANDIDATE, own)
 
 
+def _entropy_hits_of(codes: Column, at: Column, limit: Column) -> Column:
+    """The spans of the windows that start in one part of a candidate, from the part's begin."""
+    return F.flatten(F.transform(F.array(F.slice(codes, at + 1, F.lit(PART + WINDOW - 1))), lambda part: _entropy_hits(part, limit)))
+
+
 def _joined(spans: Column) -> Column:
     kind = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(kind, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")

@@ -320,9 +320,10 @@ def entropy_spans(text):
         limit = next((x for _, p, x in secret_scan.CLASSES if re.search(p, m[0])), None)
         if limit is None:
             continue
+        words = [x.span() for word in secret_scan.ALLOWED_WORDS for x in re.finditer(word, m[0], re.I)]
         for i in range(len(m[0]) - w + 1):
             counts = Counter(m[0][i : i + w]).values()
-            if -sum(c / w * math.log2(c / w) for c in counts) >= limit - 1e-9:
+            if not any(a < i + w and b > i for a, b in words) and -sum(c / w * math.log2(c / w) for c in counts) >= limit - 1e-9:
                 s, e = m.start() + i, m.start() + i + w
                 if out and out[-1][2] >= s and out[-1][0] >= m.start():
                     out[-1] = (out[-1][0], 3, e)
@@ -331,6 +332,20 @@ def entropy_spans(text):
     return out
 
 
+def test_long_candidates_and_many_hits(spark):
+    """Very long runs, which no pattern may recurse over, and very many matches; parts of a candidate give what the whole gives."""
+    random.seed(8)
+    chars = secret_scan.ALPHABET[:64]
+    noise = lambda n: "".join(random.choices(chars, k=n))
+    texts = ["a-" * 2000, "a/" * 20000, "a/b" * 9000, noise(60_000), "A" * 30_000, (noise(60) + "a" * 60) * 100, "token=abcdefgh1 " * 5000, noise(3000) + "EXAMPLE" + noise(3000), "example_service_key=" + noise(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan_secrets(docs).collect():
+        text = texts[r.doc_id]
+        assert sorted((x.s, x.k, x.e) for x in [*r.assign, *r.access, *r.hex]) == base_spans(text)
+        assert [(x.s, x.k, x.e) for x in r.entropy] == entropy_spans(text)
+        assert r.entropy or r.doc_id in (0, 1, 2, 4, 6)
+
+
 def test_secrets(spark, corpus):
     texts = [*SECRETS, *corpus.text]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
