@@ -162,6 +162,42 @@ def test_items_are_found_within_their_budget(corpus):
         assert found.get(which) == (true if true <= budget else None)
 
 
+def test_short_and_periodic_items():
+    """Items of all small lengths, of few letters and of one, against plain edit distance; short ones as they are between word borders."""
+    random.seed(6)
+    for _ in range(300):
+        letters = random.choice(["a", "ab", "abc", "abcdefghijklmnop"])
+        item = "".join(random.choices(letters, k=random.choice([*range(1, 40), 60, 90, 150])))
+        own = list(item)
+        for _ in range(random.randint(0, 3 + len(item) // 20)):
+            at = random.randrange(len(own) + 1)
+            own[at : at + random.randint(0, 1)] = random.choice(["", "z", "a"])
+        text = "".join(random.choices(letters, k=random.randint(0, 40))) + random.choice(["", " "]) + "".join(own) + random.choice(["", " "]) + "".join(random.choices(letters, k=random.randint(0, 40)))
+        index = decontamination.Items([(0, item)])
+        pattern, data = index.items[0][1], decontamination.normalise(text)
+        budget = int(len(pattern) * 0.05)
+        if budget:
+            true = edits(pattern, data)
+            true = true if true <= budget else None
+        else:
+            true = 0 if re.search(rb"(?<![a-z])" + pattern + rb"(?![a-z])", data) else None
+        hits = index.search(text)
+        assert [h[1] for h in hits] == ([] if true is None else [true]), (item, text)
+        for _, e, start, end in hits:
+            assert decontamination._distance(pattern, data[start:end]) == e
+
+
+def test_repeated_letters_take_little_time():
+    import time
+
+    began = time.time()
+    index = decontamination.Items([(0, "a" * 4000), (1, "ab" * 3000), (2, "".join(random.choices("abcdefgh ", k=8000)))])
+    assert [h[0] for h in index.search("a" * 5000 + " " + "ab" * 4000)] == [0, 1]
+    item = index.items[2][1].decode()
+    assert [h[:2] for h in index.search(item[:3000] + "zz" + item[3001:])] == [(2, 2)]
+    assert time.time() - began < 8
+
+
 def test_exact_passages(spark, corpus):
     bench = pd.read_parquet(f"{DATA}/benchmark.parquet")
     plain = {(d, i) for d, t in zip(corpus.doc_id, corpus.text) for i, b in zip(bench.item_id, bench.text) if decontamination.normalise(b) in decontamination.normalise(t)}
