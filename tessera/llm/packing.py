@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 A plan is made from the histogram of piece lengths alone, which has at most ``size`` entries however large the corpus is. Long lengths come
-first: the gap that a piece leaves is looked up among single lengths, then in an index of the sums of pairs, then as one length and
-a pair (a triple); a combination that fills the gap exactly is consumed as often as the counts allow at once. What
+first: the gap that a piece leaves is looked up among single lengths, then in an index of the sums of pairs, then in one of
+triples; a combination that fills the gap exactly is consumed as often as the counts allow at once. What
 no combination fills exactly goes by best fit, longest first, into the open sequence with the smallest sufficient gap, again
 for all sequences of one kind at once. The plan is a short table: which ranks of a length go to which run of sequences and at which place.
 
@@ -29,7 +29,10 @@ from .common import Scratch, load, small_batches, text_or_empty
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHED_CHUNKS = 800_000
+#: Bytes of chunks and their ids that a worker keeps, with what Python needs to hold them, and of the longest chunk that is kept.
+CACHED_BYTES = 64 << 20
+LONGEST_CACHED = 64
+_HELD = 200
 
 
 # ---- tokens
@@ -57,9 +60,11 @@ class Tokens(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of chunks between white space of ASCII.
 
     The vocabulary's splitting never joins characters over white space, so a text's ids are those of its chunks. A chunk is
-    encoded when it is first met and kept; the table is emptied when it is full.
+    encoded when it is first met and, unless it is long, kept; the table is emptied when it is full.
     """
 
+    held = 0
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -67,18 +72,20 @@ class Tokens(dict):
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
         if len(chunk) > 1 and chunk[-1] in b".," and 97 <= chunk[-2] <= 122:
             # A mark after a letter is split off by the vocabulary, and the word alone is often known.
-            ids = self[chunk] = self[chunk[:-1]] + self[chunk[-1:]]
-            return ids
-        if _PLAIN_WORD.fullmatch(chunk):
+            packed = self[chunk[:-1]] + self[chunk[-1:]]
+        elif _PLAIN_WORD.fullmatch(chunk):
             # One word of lower-case letters that normalisation leaves as they are: the merges alone give its ids.
-            ids = [token.id for token in self.model.tokenize(chunk.decode("latin-1").translate(_BYTE_NAMES))]
+            packed = np.array([token.id for token in self.model.tokenize(chunk.decode("latin-1").translate(_BYTE_NAMES))], "<u4").tobytes()
         else:
-            ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[chunk] = packed = np.array(ids, "<u4").tobytes()
+            packed = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= LONGEST_CACHED:
+            self.held += len(chunk) + len(packed) + _HELD
+            if self.held > CACHED_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = packed
         return packed
 
     def ids(self, text: str) -> bytes:
@@ -105,9 +112,9 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, np.ndarr
     """Arrays ``length, first_rank, first_sequence, offset`` of runs, sorted by length and rank.
 
     A run covers the ranks of its length from ``first_rank`` up to the next run's; rank first_rank + i lies at ``offset`` in
-    sequence first_sequence + i. Combinations of up to one, two and three lengths are tried, and the plan with the fewest sequences is taken.
+    sequence first_sequence + i. The plan has combinations of up to three lengths, unless best fit alone takes fewer sequences.
     """
-    kinds = min((_kinds(counts, size, most) for most in (3, 2, 1)), key=lambda ks: sum(times for _, times in ks))
+    kinds = min((_kinds(counts, size, most) for most in (3, 0)), key=lambda ks: sum(times for _, times in ks))
     ranks: dict[int, int] = defaultdict(int)
     runs, sequence = [], 0
     for content, times in kinds:
@@ -122,33 +129,79 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, np.ndarr
     return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
 
 
+class _Sums:
+    """Lengths at hand, and an index of the sums of one, two and three of them.
+
+    For each sum the ways to make it are tried from the most even one on, which leaves the short pieces, of use in many places, for later. As counts
+    only fall, a way that is gone never comes back: each sum keeps the place of the first way that may be left, so ways are gone through once in all.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = [0] * (size + 1)
+        for length, n in counts.items():
+            self.left[length] = n
+        self.pairs = [total // 2 for total in range(size + 1)]  # the shorter piece, downwards
+        self.triples = [-(-total // 3) for total in range(size + 1)]  # the first piece, upwards
+
+    def at_hand(self, content: list[int]) -> bool:
+        return all(self.left[x] >= content.count(x) for x in content)
+
+    def fill(self, gap: int, own: list[int], pieces: int) -> list[int] | None:
+        """``own`` with so many pieces (one to three) that fill the gap exactly, all at hand at once."""
+        if pieces == 1:
+            content = [*own, gap]
+            return content if self.at_hand(content) else None
+        return (self._pair if pieces == 2 else self._triple)(gap, own)
+
+    def _pair(self, total: int, own: list[int]) -> list[int] | None:
+        low, gone = self.pairs[total], True
+        while low > 0:
+            high = total - low
+            if self.at_hand([low, high]):
+                if self.at_hand(content := [*own, high, low]):
+                    return content
+                gone = False  # only taken by what is in the sequence already
+            elif gone:
+                self.pairs[total] = low - 1
+            low -= 1
+        return None
+
+    def _triple(self, total: int, own: list[int]) -> list[int] | None:
+        first, gone = self.triples[total], True
+        while first <= total - 2:
+            if self.left[first]:
+                if content := self._pair(total - first, [*own, first]):
+                    return content
+                gone = gone and not self.pairs[total - first]
+            if gone:
+                self.triples[total] = first + 1
+            first += 1
+        return None
+
+
 def _kinds(counts: dict[int, int], size: int, most: int) -> list[tuple[list[int], int]]:
     """Contents of sequences and how many have them; gaps are filled exactly by up to ``most`` pieces, the rest by best fit."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    kinds: list[tuple[list[int], int]] = [([size], int(left[size]))] if left[size] else []
+    sums = _Sums(counts, size)
+    left = sums.left
+    kinds: list[tuple[list[int], int]] = [([size], left[size])] if left[size] else []
     left[size] = 0
-
-    for fewest in range(1, most + 1):
+    halves, total = sum(left[size // 2 + 1 :]), sum(length * n for length, n in enumerate(left))
+    for pieces in range(1, most + 1):
         for big in range(size - 1, 0, -1):
-            while left[big]:
-                left[big] -= 1  # the piece itself is no longer at hand to fill its own gap
-                fill = _complement(left, size - big, fewest)
-                left[big] += 1
-                if fill is None:
-                    break
-                content = [big, *fill]
-                need = {x: content.count(x) for x in content}
-                times = min(int(left[x]) // n for x, n in need.items())
-                for x, n in need.items():
-                    left[x] -= times * n
+            # Where pieces over half a sequence, of which each needs its own, are so many that they settle the number of
+            # sequences, room isn't scarce, and a gap is better left to the longest piece that fits than to several short ones.
+            while left[big] and (pieces == 1 or total > halves * size) and (content := sums.fill(size - big, [big], pieces)):
+                times = min(left[x] // content.count(x) for x in content)
+                for x in content:
+                    left[x] -= times
+                    halves -= times * (x > size // 2)
+                total -= times * size
                 kinds.append((content, times))
 
     open_by_gap: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
     gaps = np.zeros(size + 1, bool)
     for length in range(size, 0, -1):
-        n = int(left[length])
+        n = left[length]
         while n:
             fitting = np.flatnonzero(gaps[length:])
             if len(fitting):
@@ -169,34 +222,6 @@ def _kinds(counts: dict[int, int], size: int, most: int) -> list[tuple[list[int]
     return kinds + [x for group in open_by_gap.values() for x in group]
 
 
-def _complement(left: np.ndarray, gap: int, pieces: int) -> list[int] | None:
-    """``pieces`` (one to three) lengths at hand that sum up to ``gap``; of several ways the one with the longest piece."""
-    if pieces == 1:
-        return [gap] if left[gap] else None
-    if pieces == 2:
-        return _pair(left, gap)
-    for first in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-        left[first] -= 1
-        pair = _pair(left, gap - first)
-        left[first] += 1
-        if pair:
-            return [first, *pair]
-    return None
-
-
-def _pair(left: np.ndarray, total: int) -> list[int] | None:
-    """Two lengths at hand with this sum, by their complements in the index of counts."""
-    if total < 2:
-        return None
-    low = left[1 : total // 2 + 1]
-    high = left[total - 1 : total - 1 - len(low) : -1]
-    both = (low > 0) & (high > 0)
-    if total % 2 == 0 and left[total // 2] < 2:
-        both[-1] = False
-    at = int(np.argmax(both)) if len(both) else 0
-    return [total - at - 1, at + 1] if len(both) and both[at] else None
-
-
 # ---- the operator
 
 
@@ -255,7 +280,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, size: int = SIZE,
             yield out
 
     kind = pieces.schema["k"].dataType.simpleString()
-    ranked = pieces.join(offsets.select("length", "task", "before"), ["length", "task"]).select("k", "piece", "start", "length", "ids_crc32", "rank", "before")
+    # As many offsets as lengths and tasks: they grow with the input, so they are merged with the pieces, not broadcast.
+    ranked = pieces.join(offsets.select("length", "task", "before").hint("merge"), ["length", "task"]).select("k", "piece", "start", "length", "ids_crc32", "rank", "before")
     return ranked.mapInPandas(placed, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("k", key)
 
 

@@ -1,6 +1,7 @@
 """Operators against plain versions of what they compute."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -121,6 +122,31 @@ def test_plan(seed):
     assert len(sequences) <= best_fit(lengths, 64)
 
 
+def test_index_of_sums():
+    """Singles, pairs and triples are found while there are any, whatever has been consumed before."""
+    random.seed(9)
+    for _ in range(200):
+        sums = packing._Sums(Counter(random.choices(range(1, 20), k=random.randint(1, 12))), 40)
+        for _ in range(30):
+            gap, own, pieces = random.randint(1, 40), [x for x, n in enumerate(sums.left) if n][:1], random.randint(1, 3)
+            if not own:
+                break
+            pool = list(Counter({x: n for x, n in enumerate(sums.left)}).elements())
+            pool.remove(own[0])
+            ways = {tuple(sorted(c)) for c in itertools.combinations(pool, pieces) if sum(c) == gap}
+            got = sums.fill(gap, own, pieces)
+            assert (got is None) == (not ways) and (got is None or tuple(sorted(got[1:])) in ways)
+            for x in got or []:
+                sums.left[x] -= 1
+
+
+def test_triples_reach_the_plan():
+    counts = Counter({1000: 5, 600: 5, 248: 10, 200: 5})
+    assert packing._kinds(counts, 2048, 3)[0] == ([1000, 600, 248, 200], 5)
+    lengths = packing.plan(counts, 2048)
+    assert len(set(lengths[2].tolist())) and sum(times for _, times in packing._kinds(counts, 2048, 3)) == 6
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 
