@@ -27,7 +27,9 @@ from .learning import SAMPLE_ROWS, held_out, labelled_sample
 
 BUCKETS = 1 << 22
 FEATURES = 1500
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+#: Weight of the squares of the coefficients, steps of the fit, and least gain of a feature: chosen by ``choose`` on rows that are learned from (see README).
+RIDGE, STEPS, LEAST_GAIN = 1e-5, 400, 8.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Sets of terms that name groups; a swap takes another term of the same set.
 IDENTITY = [
@@ -93,49 +95,55 @@ def _gather(sample: DataFrame) -> pd.DataFrame:
     return sample.select("label", "text").mapInPandas(of, "label int, ids binary, swapped array<binary>").toPandas()
 
 
-def _select(docs: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
+def _select(docs: list[np.ndarray], y: np.ndarray, features: int, least_gain: float) -> np.ndarray:
     """The features that tell the labels apart best, by their likelihood ratio; each occurs in three texts at least."""
-    if not docs:
-        return np.zeros(0, np.int64)
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    ids, where = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    pos = np.bincount(where, y[owner], len(ids))
-    n = np.bincount(where, minlength=len(ids)).astype(float)
-    base = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    n, pos = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for ids, label in zip(docs, y.astype(np.int32).tolist()):  # a text's features are distinct
+        n[ids] += 1
+        pos[ids] += label
+    ids = np.flatnonzero(n >= 3)
+    n, pos = n[ids].astype(float), pos[ids].astype(float)
+    base = min(max(y.mean(), 1e-6), 1 - 1e-6) if len(y) else 0.5
 
     def xlog(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(a > 0, a * np.log(np.maximum(a, 1e-300) / np.maximum(b, 1e-300)), 0)
 
     gain = xlog(pos, n * base) + xlog(n - pos, n * (1 - base))
-    gain[n < 3] = 0
     best = np.argsort(-gain, kind="stable")[:features]
-    return np.sort(ids[best[gain[best] > 3.0]])
+    return np.sort(ids[best[gain[best] > least_gain]])
 
 
-def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-5, counterfactual: float = 1.0, steps: int = 400) -> Model:
+def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = RIDGE, counterfactual: float = 1.0, steps: int = STEPS, least_gain: float = LEAST_GAIN) -> Model:
     """Fit from rows of ``label, ids, swapped``. ``counterfactual`` weighs the penalty on score changes under swaps.
 
     Without rows, or with one label only, the model gives the share of label 1 (one half without rows).
     """
-    y = data["label"].to_numpy(float) if len(data) else np.zeros(0)
+    y = data["label"].to_numpy(np.float32) if len(data) else np.zeros(0, np.float32)
     docs = [np.frombuffer(b, np.int32) for b in data["ids"]] if len(data) else []
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    chosen = _select(docs, y, features)
+    share = (float(y.sum()) + 0.5) / (len(y) + 1)
+    chosen = _select(docs, y, features, least_gain)
     if not len(chosen) or y.min() == y.max():
         return Model({}, float(np.log(share / (1 - share))))
 
-    def vector(ids: np.ndarray) -> np.ndarray:
+    def places(ids: np.ndarray) -> np.ndarray:
         at = np.searchsorted(chosen, ids)
-        at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == ids)]
-        v = np.zeros(len(chosen), np.float32)
-        v[at] = 1
-        return v
-
-    x = np.stack([vector(d) for d in docs])
-    change = [x[i] - vector(np.frombuffer(s, np.int32)) for i, swaps in enumerate(data["swapped"]) for s in (swaps if swaps is not None else [])]
-    d = np.stack(change) if change else np.zeros((0, len(chosen)), np.float32)
-    d = d[np.any(d != 0, axis=1)]
+        return at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == ids)]
+
+    x = np.zeros((len(docs), len(chosen)), np.float32)
+    for i, d in enumerate(docs):
+        x[i, places(d)] = 1
+    # A swap changes a few features; only these are held: which change, of which swap, with which sign.
+    change, owner, sign, swaps = [], [], [], 0
+    for i, own in enumerate(data["swapped"]):
+        for other in own if own is not None else []:
+            other = places(np.frombuffer(other, np.int32))
+            gone, new = np.setdiff1d(np.flatnonzero(x[i]), other), other[x[i, other] == 0]
+            if len(gone) + len(new):
+                change += [gone, new]
+                owner.append(np.full(len(gone) + len(new), swaps))
+                sign.append(np.append(np.ones(len(gone)), -np.ones(len(new))))
+                swaps += 1
+    change, owner, sign = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (change, owner, sign))
     # The fit starts at a third of each feature's log-odds, as a word has three features.
     odds = np.log((y @ x + 0.5) / (y.sum() + 1)) - np.log(((1 - y) @ x + 0.5) / ((1 - y).sum() + 1))
     w, b = (odds / 3).astype(np.float32), float(np.log(share / (1 - share)))
@@ -143,9 +151,10 @@ def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-5, count
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         err = ((p - y) / len(y)).astype(np.float32)
-        grad = np.append(x.T @ err + ridge * w, err.sum())
-        if len(d):
-            grad[:-1] += 2 * counterfactual * (d.T @ (d @ w)) / len(d)
+        grad = np.append(err @ x + ridge * w, err.sum())
+        if swaps:
+            by_swap = np.bincount(owner, sign * w[change], swaps)
+            grad[:-1] += 2 * counterfactual * np.bincount(change, sign * by_swap[owner], len(chosen)) / swaps
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -154,6 +163,20 @@ def fit(data: pd.DataFrame, features: int = FEATURES, ridge: float = 1e-5, count
     return Model({int(f): float(c) for f, c in zip(chosen, w) if abs(c) > 1e-4}, b)
 
 
+def choose(data: pd.DataFrame, settings: list[dict], folds: int = 3) -> list[tuple[float, dict]]:
+    """Settings of ``fit`` with their log loss in cross-validation on the rows of ``data``, the best one first."""
+    fold, out = np.arange(len(data)) % folds, []
+    for setting in settings:
+        loss = 0.0
+        for f in range(folds):
+            model, rest = fit(data[fold != f], **setting), data[fold == f]
+            z = [model.bias + sum(model.weights.get(i, 0.0) for i in np.frombuffer(ids, np.int32).tolist()) for ids in rest["ids"]]
+            p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-6, 1 - 1e-6)
+            loss -= float(np.where(rest["label"] == 1, np.log(p), np.log(1 - p)).sum())
+        out.append((loss / max(1, len(data)), setting))
+    return sorted(out, key=lambda x: x[0])
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``rows`` labelled rows that aren't held out."""
     small_batches(docs.sparkSession)

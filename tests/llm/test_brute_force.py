@@ -336,6 +336,49 @@ def test_swaps_keep_neutral_mentions_harmless(spark):
     assert scores[1.0][2] > 0.5
 
 
+def test_held_out_labels_change_neither_model_nor_settings(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    other = labels.withColumn("toxic", F.when(learning.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    settings = [{"steps": 20, "least_gain": g} for g in (3.0, 8.0)]
+    found = []
+    for known in (labels, other):
+        data = toxicity._gather(learning.labelled_sample(docs, known, "toxic")).sort_values("ids", ignore_index=True)
+        found.append((toxicity.choose(data, settings), toxicity.fit(data, steps=20).weights))
+    assert found[0] == found[1]
+
+
+def test_neutral_mentions_in_clean_texts_stay_clean(spark, corpus):
+    """Groups that are named in clean texts of the corpus don't move its model's judgement."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    texts = [t for t, s in zip(corpus.text[:80], model.score(list(corpus.text[:80]), {})) if s < 0.5]
+    assert len(texts) > 40
+    plain = model.score(texts, {})
+    for terms in toxicity.IDENTITY:
+        scores = [model.score([f"{t} We met {term} neighbours there." for t in texts], {}) for term in terms]
+        assert all((s < 0.5).all() for s in scores) and max(np.abs(s - plain).max() for s in scores) < 0.25
+
+
+def test_statistics_of_quality():
+    """The statistics against plain counts, and the first split against all splits."""
+    text = "Ab cd, ef ef. gh!\nab 12 x-y #\n\nAb cd, ef ef. gh!"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    words = text.split()
+    assert got["log_words"] == math.log1p(len(words)) and got["word_mean"] == sum(map(len, words)) / len(words)
+    assert got["short_words"] == sum(len(w) < 3 for w in words) / len(words) and got["symbol_share"] == 1 / len(text)
+    assert got["digits"] == 2 / len(text) and got["commas"] == 2 / len(words) and got["stops"] == 4 / len(words)
+    assert got["unique_words"] == len(set(words)) / len(words) and got["top_word"] == 2 / len(words)
+    pairs = list(zip(words, words[1:]))
+    assert got["same_as_before"] == sum(a == b for a, b in pairs) / len(pairs) and got["same_pairs"] == 1 - len(set(pairs)) / len(pairs)
+    assert got["lines_log"] == math.log1p(3) and got["repeated_lines"] == 1 - 2 / 3 and got["line_ends"] == 2 / 3 and got["inner_marks"] == 1 / len(words)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (300, 4)).astype(float), rng.integers(0, 2, 300).astype(float)
+    model, p = quality.fit(x, y, trees=1, depth=1, bins=64, least=10), (y.sum() + 0.5) / 301
+    g, h = p - y, np.full(300, p * (1 - p))
+    best = max((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), j, c) for j in range(4) for c in range(9) if 10 <= (m := x[:, j] <= c).sum() <= 290)
+    assert model.feature[0] == best[1] and ((x[:, best[1]] <= model.limit[0]) == (x[:, best[1]] <= best[2])).all()
+
+
 def test_flat_trees_follow_their_branches():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))
