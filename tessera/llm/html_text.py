@@ -7,12 +7,14 @@ text that stands in links. The best container is kept with its siblings that hav
 is preferred to a part of it. Where nothing is marked as the article, parts beside the container and beside those around it are kept by their own
 text: long text with few links, whole sentences, headings of what follows, and what stands between kept parts. The text is that of the blocks in page order.
 
-Pages are judged row by row: there is no shuffle and nothing to skew.
+Pages are judged row by row: there is no shuffle and nothing to skew. Letters, links and points are summed up once, from the leaves up, so a page takes time
+in proportion to its length, however deep or broken it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import load, small_batches, text_or_empty
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Kinds of elements, after the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,13 +65,14 @@ MENU_SHARE = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "main", "out", "parts", "children", "link", "points")
+    __slots__ = ("tag", "parent", "main", "out", "parts", "children", "link", "points", "letters", "linked", "links")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, main: bool, link: bool):
         self.tag, self.parent, self.out, self.main, self.link = tag, parent, out, main, link
         self.parts: list = []  # text and child elements in page order
         self.children: list[Node] = []
         self.points = 0.0
+        self.letters = self.linked = self.links = 0  # letters of text below it, those in links, and links
 
 
 def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -93,85 +97,112 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, tag in ("article", "main") or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody"
 
 
+def _tag_end(html: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag, outside of quotes that are closed; -1 if there is none."""
+    while m := _END.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        close = html.find(m[0], m.end())
+        at = m.end() if close < 0 else close + 1
+    return -1
+
+
 def parse(html: str) -> Node:
-    """The tree of a page. Whatever is not closed is closed at the end; unknown end tags are skipped."""
+    """The tree of a page. Whatever is not closed is closed at the end; unknown end tags are skipped; a tag without an end is text, with all that follows."""
     root = here = Node("#root", None, False, False, False)
-    at = 0
-    size = len(html)
+    open_tags: Counter[str] = Counter()
+    raw_ends: dict[str, re.Pattern] = {}
+    at, size = 0, len(html)
+
+    def leave(node: Node) -> Node:
+        """The parent of ``node``, which is left with all that is open in it."""
+        inner = here
+        while inner is not node.parent:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     while at < size:
-        m = _TOKEN.search(html, at)
+        m = _START.search(html, at)
         if m is None:
             here.parts.append(html[at:])
             break
         if m.start() > at:
             here.parts.append(html[at : m.start()])
-        at = m.end()
         if m[2] is None:
+            comment = m[0] == "<!--"
+            end = html.find("-->" if comment else ">", m.end())
+            at = size if end < 0 else end + (3 if comment else 1)
             continue
-        tag = m[2].lower()
+        end = _tag_end(html, m.end())
+        if end < 0:
+            here.parts.append(html[m.start() :])
+            break
+        tag, attributes, at = m[2].lower(), html[m.end() : end], end + 1
         if m[1]:
             if tag == "br":
                 here.parts.append(" ")
-            node = here
+            node = here if open_tags[tag] else None
             while node is not None and node.tag != tag:
                 # The end of an inline element doesn't close a block around it.
                 node = None if tag not in BLOCKS and tag not in LEFT_OUT and node.tag in BLOCKS else node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                here = leave(node)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+            close = raw_ends[tag].search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = size if end < 0 else end + 1
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_tags["p"]:
             node = here
             while node is not None and node.tag != "p" and (node.tag not in BLOCKS):
                 node = node.parent
             if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
+                here = leave(node)
+        if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag][0]):
             same, border = CLOSES[tag]
             node = here
             while node.parent is not None and node.tag not in border and node.tag not in same:
                 node = node.parent
             if node.tag in same and node.parent is not None:
-                here = node.parent
+                here = leave(node)
                 if tag == "tr" and here.tag == "tr":
-                    here = here.parent
+                    here = leave(here)
         if tag in VOID:
             here.parts.append(" ")
             continue
-        out, main = _left_out(tag, m[3])
+        out, main = _left_out(tag, attributes)
         child = Node(tag, here, out or here.out, main, tag == "a" or here.link)
         here.parts.append(child)
         here.children.append(child)
-        if not m[3].rstrip().endswith("/") or tag in BLOCKS or tag in LEFT_OUT:
+        if not attributes.rstrip().endswith("/") or tag in BLOCKS or tag in LEFT_OUT:
             here = child
+            open_tags[tag] += 1
     return root
 
 
+def _measure(root: Node) -> list[Node]:
+    """Counts letters and links of each node that isn't left out, from the leaves up; the nodes in page order."""
+    nodes = list(_walk(root))
+    for node in reversed(nodes):
+        own = sum(len(part.strip()) for part in node.parts if isinstance(part, str))
+        inner = [c for c in node.children if not c.out]
+        node.letters = own + sum(c.letters for c in inner)
+        node.linked = own * node.link + sum(c.linked for c in inner)
+        node.links = (node.tag == "a") + sum(c.links for c in inner)
+    return nodes
+
+
 def _text(node: Node) -> tuple[int, int]:
-    """Letters of text below a node that isn't left out: all, and those in links."""
-    total = linked = 0
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        for part in x.parts:
-            if isinstance(part, str):
-                n = len(part.strip())
-                total += n
-                linked += n * x.link
-            elif not part.out:
-                stack.append(part)
-    return total, linked
+    """Letters of text below a node: all, and those in links."""
+    return node.letters, node.linked
 
 
 def _is_menu(node: Node) -> bool:
-    links = sum(x.tag == "a" for x in _walk(node))
-    if links < MENU_LINKS:
-        return False
-    total, linked = _text(node)
-    return linked >= MENU_SHARE * total
+    return node.links >= MENU_LINKS and node.linked >= MENU_SHARE * node.letters
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -224,25 +255,25 @@ def blocks(node: Node) -> list[str]:
 
 def _main_nodes(root: Node) -> list[Node]:
     """The nodes whose text is the page's: the best container and siblings with points, in page order."""
-    holders = [x for x in _walk(root) if x.tag in BLOCKS or x.tag == "#root"]
-    for node in holders:
+    for node in _measure(root):
         if node.tag in MENU_TAGS and _is_menu(node):
             node.out = True  # a menu by its links, whatever its name
-    holders = [x for x in _walk(root) if x.tag in BLOCKS or x.tag == "#root"]
+    nodes = _measure(root)
+    holders = [x for x in nodes if x.tag in BLOCKS or x.tag == "#root"]
     for node in holders:
         text = _own_text(node)
         if not text:
             continue
         # A bare piece of text in a container counts for the container itself, a paragraph for its parent.
         points = (1.0 if len(text) >= 25 else 0.2) + text.count(",") + min(len(text) / 100, 3.0)
-        target: Node | None = node.parent if node.parent is not None and node.tag in ("p", "pre", "li", "td", "blockquote", "dd") or node.tag[:1] == "h" and node.tag[1:].isdigit() else node
-        share = 1.0
-        while target is not None:
-            target.points += points * share
-            target, share = target.parent, share / 2
+        target = node.parent if node.parent is not None and node.tag in ("p", "pre", "li", "td", "blockquote", "dd") or node.tag[:1] == "h" and node.tag[1:].isdigit() else node
+        target.points += points
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.points += node.points / 2
     best, most = None, 0.0
     for node in holders:
-        total, linked = _text(node) if node.points else (0, 0)
+        total, linked = _text(node)
         if total:
             node.points *= 1 - linked / total
             if node.points > most or best is None:
@@ -326,7 +357,7 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of ``pages``: key, url, text (empty if none), n_chars (code points).
 
-    Null html counts as empty. Keys and urls may be null or repeat. Other columns are not read.
+    Null html counts as empty; an empty table gives an empty result, and pages are read whole, however long. Keys and urls may be null or repeat. Other columns are not read.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), text_or_empty(html).alias("h"))
