@@ -22,8 +22,8 @@ best combinations of near code words of each triple (36 bits, and the triple). D
 are dropped, and the rest are verified by the Jaccard similarity of their whole sets. How many similar pairs meet is measured (see README).
 
 Keys that very many documents share don't give all their pairs. First each document of a key is compared with the one of it that meets the most others, which is linear, and
-what is linked falls into components; then another document of the key is compared with those of other components, and so on until a round links nothing
-more. All pairs of a key are never made: a group of near copies would give the square of its number. Texts with equal sets are one from the start.
+what is linked falls into components; then another document of the key is compared with those of other components, and so on until a round adds less than a
+thousandth to the links. All pairs of a key are never made: a group of near copies would give the square of its number. Texts with equal sets are one from the start.
 
 Links go to distributed connected components. Nothing is collected.
 """
@@ -200,6 +200,8 @@ TRIPLE = (0, 1, 3)
 WEAK, LISTED, COMBINED = 5, 6, 10
 #: Bits in which fingerprints of similar texts differ at most: the mean at a similarity of 0.8 is 38, with a deviation of 6.
 MOST_BITS = 58
+#: Rounds go on while one adds more than such a part of all links.
+STILL = 1000
 #: Texts that are decoded at once.
 _TOGETHER = 64
 
@@ -308,16 +310,12 @@ def _close(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     return pairs.where((bits <= MOST_BITS) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6)).select("a", "b")
 
 
-def _verified(texts: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more. ``texts`` has the columns mark, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(marked.select("row", "mark"), "row")
-    sets = scratch.keep(_sets(texts.join(wanted, "mark"), words), "sets")
+def _verified(sets: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more."""
     # Both sides of the joins are written tables, so that adaptive execution can split a row with very many pairs.
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    out = scratch.keep(both.where(shared * F.lit(1 + least) >= (F.size("x") + F.size("y")) * F.lit(least) - 1e-6).select("a", "b"), "similar")
-    scratch.drop([sets])
-    return out
+    return scratch.keep(both.where(shared * F.lit(1 + least) >= (F.size("x") + F.size("y")) * F.lit(least) - 1e-6).select("a", "b"), "similar")
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
@@ -351,8 +349,11 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # A row that meets very many others lies in the midst of them, so it is the one to compare the others of its keys with.
     weights = scratch.keep(sized.groupBy("row").agg(F.sum("m").alias("weight")), "weights")
     members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight"), "weighed")
+    # The texts of documents that meet others are shuffled once, for their sets.
+    meeting = weights.select("row").join(marked.select("row", "mark"), "row")
+    sets = scratch.keep(_sets(rows.join(meeting, "mark"), words), "sets")
     scratch.drop([sized, weights])
-    groups, links, tested, rest = None, None, None, members
+    groups, links, tested, rest, many = None, None, None, members, 0
     while True:
         # In each key one more row is compared with the others of the key that it isn't connected with.
         if groups is None:
@@ -360,22 +361,24 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
             pivots = known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
         else:
             known = scratch.keep(rest.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", "weight", F.coalesce("component", "row").alias("c")), "known")
-            # A row outside of the key's largest weight's component, as that one has been compared from its midst.
+            # A row outside of the component in whose midst the key has been compared already.
             heads = known.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("h"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key", F.col("h.c").alias("head"))
             apart = known.join(scratch.keep(heads, "heads"), "key").where("c <> head")
             pivots = apart.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
         pivots = scratch.keep(pivots.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.c").alias("own")), "pivots")
-        met = scratch.keep(known.join(pivots, "key").where("row <> pivot"), "met")
-        pairs = met.where("c <> own").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+        pairs = known.join(pivots, (known.key == pivots.key) & (F.col("c") != F.col("own"))).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         fresh = scratch.keep(_close(pairs, marked, least), "tested")
-        found = _verified(rows, marked, fresh, words, least, scratch)
-        if groups is not None and found.isEmpty():
+        found = _verified(sets, fresh, least, scratch)
+        new = found.count()
+        if new or groups is None:
+            links = found if links is None else links.union(found)
+            groups = components(spark, links, scratch)
+        many += new
+        if new * STILL <= many:
             break
         tested = fresh if tested is None else tested.union(fresh)
-        links = found if links is None else links.union(found)
-        groups = components(spark, links, scratch)
-        rest = met.select("key", "row", "weight")
+        rest = known.select("key", "row", "weight").join(pivots.select("key", F.col("pivot").alias("row")), ["key", "row"], "left_anti")
 
     whole = named.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("row", "k", F.coalesce("component", "first").alias("component"))
     whole = scratch.keep(whole, "whole")
