@@ -438,7 +438,10 @@ def _shared(spark, name: str) -> str:
     """A new folder that driver and executors share."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "/tmp/tessera-checkpoints"
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 

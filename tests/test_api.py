@@ -41,7 +41,7 @@ def test_commands_with_spark(spark, tmp_path, capsys):
     (tmp_path / "in/a.txt").write_text(TEXT)
     (tmp_path / "in/b.txt").write_text("%VERSION: 1.0\n---\n a: 1\n")
     capsys.readouterr()
-    assert cli.run(["batch-validate", str(tmp_path / "in")]) == 1 and "multiple of 2" in capsys.readouterr().out
+    assert cli.run(["batch-validate", str(tmp_path / "in")]) == 1 and "odd number of blanks" in capsys.readouterr().out
     assert cli.run(["batch-format", str(tmp_path / "in"), "-o", str(tmp_path / "out")]) == 1
     assert json.loads(capsys.readouterr().out) == {"total": 2, "succeeded": 1, "failed": 1}
     assert cli.run(["lint", str(tmp_path / "in/a.txt")]) == 0 and cli.run(["batch-lint", str(tmp_path / "in")]) == 0

@@ -35,7 +35,7 @@ def test_node_table(parsed):
 
 
 def test_failfast(docs):
-    with pytest.raises(Exception, match="multiple of 2"):
+    with pytest.raises(Exception, match="odd number of blanks"):
         tables.parse(docs, "nodes").count()
 
 
