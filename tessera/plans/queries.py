@@ -478,3 +478,7 @@ def cypher_statements(spark, d):
 def upper_median(spark, d):
     rows = table(spark, d, "conversations").select("role", F.char_length("text").alias("n"))
     return stats.selected(rows, ["role"], "n", {"median": "n div 2"})
+
+
+# Queries that parse documents register themselves here.
+from . import documents as documents  # noqa: E402
