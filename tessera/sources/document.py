@@ -69,7 +69,7 @@ class Tensor:
         return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     type: str
     id: str
