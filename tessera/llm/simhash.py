@@ -302,12 +302,14 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(of, "row long, set array<long>")
 
 
-def _close(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose fingerprints and sizes allow their similarity."""
-    for side in "ab":
-        pairs = pairs.join(marked.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(NUMBERS)]), side)
-    bits = sum((_apart(f"a{i}", f"b{i}") for i in range(1, NUMBERS)), _apart("a0", "b0"))
-    return pairs.where((bits <= MOST_BITS) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6)).select("a", "b")
+#: What of a text its keys' rows carry: the size of its set and its fingerprint.
+_FACTS = ["n", *[f"f{i}" for i in range(NUMBERS)]]
+
+
+def _close(least: float) -> Column:
+    """Whether the facts of a row and those of its pivot (``p`` before their names) allow their similarity."""
+    bits = sum((_apart(f, f"p{f}") for f in _FACTS[2:]), _apart("f0", "pf0"))
+    return (bits <= MOST_BITS) & (F.least("n", "pn") >= F.greatest("n", "pn") * F.lit(least) - 1e-6)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -347,28 +349,28 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     sized = scratch.keep(members.join(scratch.keep(sizes, "sizes"), "key"), "sized")
     scratch.drop([members])
     # A row that meets very many others lies in the midst of them, so it is the one to compare the others of its keys with.
-    weights = scratch.keep(sized.groupBy("row").agg(F.sum("m").alias("weight")), "weights")
-    members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight"), "weighed")
+    weights = sized.groupBy("row").agg(F.sum("m").alias("weight")).join(marked.select("row", "mark", *_FACTS), "row")
+    weights = scratch.keep(weights, "weights")
+    members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight", *_FACTS), "weighed")
     # The texts of documents that meet others are shuffled once, for their sets.
-    meeting = weights.select("row").join(marked.select("row", "mark"), "row")
-    sets = scratch.keep(_sets(rows.join(meeting, "mark"), words), "sets")
+    sets = scratch.keep(_sets(rows.join(weights.select("row", "mark"), "mark"), words), "sets")
     scratch.drop([sized, weights])
     groups, links, tested, rest, many = None, None, None, members, 0
     while True:
         # In each key one more row is compared with the others of the key that it isn't connected with.
         if groups is None:
             known = rest.withColumn("c", F.col("row"))
-            pivots = known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
+            open_ = known
         else:
-            known = scratch.keep(rest.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("key", "row", "weight", F.coalesce("component", "row").alias("c")), "known")
+            known = scratch.keep(rest.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select(*rest.columns, F.coalesce("component", "row").alias("c")), "known")
             # A row outside of the component in whose midst the key has been compared already.
             heads = known.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("h"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key", F.col("h.c").alias("head"))
-            apart = known.join(scratch.keep(heads, "heads"), "key").where("c <> head")
-            pivots = apart.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c")).alias("p"))
-        pivots = scratch.keep(pivots.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.c").alias("own")), "pivots")
-        pairs = known.join(pivots, (known.key == pivots.key) & (F.col("c") != F.col("own"))).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+            open_ = known.join(scratch.keep(heads, "heads"), "key").where("c <> head")
+        pivots = open_.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"), "c", *_FACTS)).alias("p"))
+        pivots = scratch.keep(pivots.select("key", (-F.col("p.row")).alias("pivot"), F.col("p.c").alias("own"), *[F.col(f"p.{f}").alias(f"p{f}") for f in _FACTS]), "pivots")
+        pairs = known.join(pivots, (known.key == pivots.key) & (F.col("c") != F.col("own")) & _close(least)).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = scratch.keep(_close(pairs, marked, least), "tested")
+        fresh = scratch.keep(pairs, "tested")
         found = _verified(sets, fresh, least, scratch)
         new = found.count()
         if new or groups is None:
@@ -378,7 +380,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
         if new * STILL <= many:
             break
         tested = fresh if tested is None else tested.union(fresh)
-        rest = known.select("key", "row", "weight").join(pivots.select("key", F.col("pivot").alias("row")), ["key", "row"], "left_anti")
+        rest = known.select(*members.columns).join(pivots.select("key", F.col("pivot").alias("row")), ["key", "row"], "left_anti")
 
     whole = named.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("row", "k", F.coalesce("component", "first").alias("component"))
     whole = scratch.keep(whole, "whole")
