@@ -342,7 +342,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # Keys of one row only are counted away; what is left goes by the first row with the same set, so that copies cost nothing further.
     keyed = marked.select("row", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    met = scratch.keep(keyed.join(scratch.keep(shared, "shared"), "key"), "met")
+    # Both tables grow with the input, so they are merged at every size; a broadcast would hold for small inputs only.
+    met = scratch.keep(keyed.join(scratch.keep(shared, "shared").hint("merge"), "key"), "met")
     members = scratch.keep(met.join(named.select("row", "first"), "row").select("key", F.col("first").alias("row")).distinct(), "members")
     scratch.drop([first, met])
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -353,7 +354,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     weights = scratch.keep(weights, "weights")
     members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight", *_FACTS), "weighed")
     # The texts of documents that meet others are shuffled once, for their sets.
-    sets = scratch.keep(_sets(rows.join(weights.select("row", "mark"), "mark"), words), "sets")
+    sets = scratch.keep(_sets(rows.join(weights.select("row", "mark").hint("merge"), "mark"), words), "sets")
     scratch.drop([sized, weights])
     groups, links, tested, rest, many = None, None, None, members, 0
     while True:
