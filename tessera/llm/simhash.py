@@ -19,18 +19,24 @@ words near it are those that flip the least sum in all, and they are found by fl
 fingerprints differ, they do so in weak bits mostly, so their lists of near code words meet often. By the pigeonhole principle, of
 eleven triples of segments that use each segment three times, some have no more errors than the mean, so a document goes under the
 best combinations of near code words of each triple (36 bits, and the triple). Documents that share a key are candidates; those whose fingerprints differ too much
-are dropped, and the rest are verified by the Jaccard similarity of their whole sets. How many similar pairs meet is measured (see README).
+are dropped, and the rest are verified by the Jaccard similarity of their whole sets. This finds nearly all links, but not all.
 
-Keys that very many documents share don't give all their pairs. First each document of a key is compared with the one of it that meets the most others, which is linear, and
+Of the keys of a triple each document takes the one that most others share. There each is compared with the one that meets the most others, which is linear, and
 what is linked falls into components; then another document of the key is compared with those of other components, and so on until a round adds less than a
 thousandth to the links. All pairs of a key are never made: a group of near copies would give the square of its number. Texts with equal sets are one from the start.
 
+An exact step then finds every link that is left between components (``_left``), by prefix filtering. With shingles in any one order, two sets of that similarity share one
+among the first n - ceil(0.8 n) + 1 of each. Frequent shingles come last in the order; which are frequent is estimated from some of the texts, on which only the
+time depends. Documents of different components that share such a shingle are verified if their sizes and parities allow it: the parities are those of the numbers of shingles in 512
+buckets, of which no more can differ than the sets have shingles that aren't in both. No bound is put on how many share a shingle.
+
 Links go to distributed connected components. Nothing is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -202,6 +208,12 @@ WEAK, LISTED, COMBINED = 5, 6, 10
 MOST_BITS = 58
 #: Rounds go on while one adds more than such a part of all links.
 STILL = 1000
+#: Shingles that come last in the order of prefixes: those found in at least so many of the texts of one in so many, and at most so many shingles.
+FREQUENT, SAMPLED, LAST = 8, 8, 1 << 17
+#: Parts that the last pairs are verified in.
+PARTS = 8
+#: 64-bit numbers that hold the parities of a set.
+PARITIES = 8
 #: Texts that are decoded at once.
 _TOGETHER = 64
 
@@ -265,11 +277,34 @@ def wide_keys(z: np.ndarray) -> list[np.ndarray]:
     return [row[row >= 0] for row in np.concatenate(found, 1)]
 
 
-_MARKED = "n int, same binary, f0 long, f1 long, f2 long, f3 long, keys array<long>"
+def prefix(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's sorted hashes, so many that sets with a Jaccard similarity of ``least`` share one. Those in the sorted ``last`` come last, by ``rank``."""
+    size = len(hashes) - int(np.ceil(least * len(hashes) - 1e-5)) + 1
+    if not len(last):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
+    late = last[at] == hashes
+    first, late = hashes[~late][:size], at[late]
+    return np.concatenate((first, last[late[np.argsort(rank[late])][: size - len(first)]]))
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each bucket whether the number of hashes in it is odd, as ``PARITIES`` numbers."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+_PARITIES = [f"q{i}" for i in range(PARITIES)]
+_MARKED = "n int, same binary, f0 long, f1 long, f2 long, f3 long, keys array<long>, " + ", ".join(f"{q} long" for q in _PARITIES) + ", prefix array<long>"
 
 
-def _marks(words: int, others: int):
-    """Size and 128-bit hash of the set of shingles, the fingerprint and its keys; the first ``others`` columns stay."""
+def _lists(of: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in of]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of).view(np.int64)))
+
+
+def _marks(words: int, others: int, least: float, last: np.ndarray, rank: np.ndarray):
+    """Size and 128-bit hash of the set of shingles, the fingerprint and its keys, parities and prefix; the first ``others`` columns stay."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,11 +313,11 @@ def _marks(words: int, others: int):
                 sets = [shingles(t.as_py(), words) for t in part.column(others)]
                 z = np.stack([sums(s) for s in sets])
                 bits = np.packbits(z > 0, axis=1, bitorder="little").view("<i8")
-                keys = wide_keys(z)
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                odd = np.stack([parities(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:others], pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(NUMBERS)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=[*part.schema.names[:others], "n", "same", "f0", "f1", "f2", "f3", "keys"],
+                    [*part.columns[:others], pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(NUMBERS)], _lists(wide_keys(z)),
+                     *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES)], _lists([prefix(s, last, rank, least) for s in sets])],
+                    names=[*part.schema.names[:others], "n", "same", "f0", "f1", "f2", "f3", "keys", *_PARITIES, "prefix"],
                 )
 
     return of
@@ -295,9 +330,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), _TOGETHER):
                 part = batch.slice(at, _TOGETHER)
-                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["row", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t.as_py(), words) for t in part.column(1)])], ["row", "set"])
 
     return rows.select("row", "text").mapInArrow(of, "row long, set array<long>")
 
@@ -320,11 +353,46 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float, scratch: Scratch)
     return scratch.keep(both.where(shared * F.lit(1 + least) >= (F.size("x") + F.size("y")) * F.lit(least) - 1e-6).select("a", "b"), "similar")
 
 
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles and their places in the order by frequency. Any answer is right; a good one saves time."""
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.lit(0).cast("long").alias("row"), "text")
+    counts = _sets(some, words).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT)
+    most = counts.orderBy(F.desc("m"), "h").limit(LAST).select("h").collect()
+    hashes = np.array([r.h for r in most], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - order
+
+
+def _left(rows: DataFrame, marked: DataFrame, named: DataFrame, groups: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """All links ``(a, b)`` between rows of different ``groups``."""
+    # Of equal sets only the first takes part. Both tables of each join grow with the input, so they are merged at every size.
+    shared = marked.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    shared = scratch.keep(shared, "shared")
+    firsts = marked.join(named.where("row = first").select("row").hint("merge"), "row", "left_semi").select("row", F.explode("prefix").alias("h"))
+    met = scratch.keep(firsts.join(shared.hint("merge"), "h"), "met")
+    known = scratch.keep(met.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("h", "row", F.coalesce("component", "row").alias("c")), "known")
+    mixed = scratch.keep(known.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "mixed")
+    facts = ["n", *_PARITIES]
+    apart = scratch.keep(known.join(mixed, "h").join(marked.select("row", *facts), "row"), "apart")
+    scratch.drop([shared, met, known, mixed])
+    other = apart.select("h", F.col("row").alias("prow"), F.col("c").alias("pc"), *[F.col(f).alias(f"p{f}") for f in facts])
+    odd = sum((_apart(q, f"p{q}") for q in _PARITIES[1:]), _apart("q0", "pq0"))
+    allowed = (odd * F.lit(1 + least) <= (F.col("n") + F.col("pn")) * F.lit(1 - least) + 1e-5) & (F.least("n", "pn") >= F.greatest("n", "pn") * F.lit(least) - 1e-6)
+    pairs = apart.join(other, (apart.h == other.h) & (F.col("row") < F.col("prow")) & (F.col("c") != F.col("pc")) & allowed).select(F.col("row").alias("a"), F.col("prow").alias("b")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    ids = scratch.keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(marked.select("row", "mark"), "row"), "ids")
+    sets = scratch.keep(_sets(rows.join(ids.hint("merge"), "mark"), words), "sets")
+    scratch.drop([apart, ids])
+    # A pair takes a whole set through the shuffle, so pairs are dealt into parts that are verified one after the other, each on a part of the disk.
+    dealt = F.pmod(F.xxhash64("a", "b"), F.lit(PARTS))
+    return reduce(DataFrame.union, [_verified(sets, pairs.where(dealt == i), least, scratch) for i in range(PARTS)])
+
+
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
     """One row per row of ``docs``: key, component_id, kept, and ``mark`` if a column of that name is given.
 
     Rows link if the Jaccard similarity of their shingles of ``words`` words is ``least`` or more; component_id is the smallest key that can be reached,
-    and ``kept`` is true for one row of each component, that with the smallest key, null last. ``mark`` names a column that tells rows apart, as ``common.rows_marked`` makes
+    and ``kept`` is true for one row of each component, that with the smallest key, null last. No link is left out. ``mark`` names a column that tells rows apart, as ``common.rows_marked`` makes
     it. Null and empty texts and those of white space equal each other; texts of fewer words are one shingle. Whole texts are read, however long. Repeated
     rows and keys give as many rows. An empty table gives an empty result. Other columns are not read.
     """
@@ -334,7 +402,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), *([F.col(mark)] if mark else []))
     rows = (rows if mark else rows_marked(spark, rows, own, scratch)).select("k", F.col(own).alias("mark"), "text")
     kinds = rows.select("k", "mark").schema
-    marks = rows.select("k", "mark", "text").mapInArrow(_marks(words, 2), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kinds], _MARKED]))
+    marks = rows.select("k", "mark", "text").mapInArrow(_marks(words, 2, least, *_frequent(rows, words)), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kinds], _MARKED]))
     marked = scratch.keep(marks.withColumn("row", F.monotonically_increasing_id()), "marked")
     first = scratch.keep(marked.groupBy("same", "n").agg(F.min("row").alias("first")), "first")
     named = scratch.keep(marked.select("row", "k", "same", "n").join(first, ["same", "n"]).select("row", "k", "first"), "named")
@@ -352,7 +420,9 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # A row that meets very many others lies in the midst of them, so it is the one to compare the others of its keys with.
     weights = sized.groupBy("row").agg(F.sum("m").alias("weight")).join(marked.select("row", "mark", *_FACTS), "row")
     weights = scratch.keep(weights, "weights")
-    members = scratch.keep(sized.join(weights, "row").select("key", "row", "weight", *_FACTS), "weighed")
+    # Of a triple's keys each row takes the one that most rows share.
+    taken = sized.groupBy("row", F.shiftright("key", 36)).agg(F.max(F.struct("m", "key")).alias("x")).select("row", "x.key")
+    members = scratch.keep(taken.join(weights, "row").select("key", "row", "weight", *_FACTS), "weighed")
     # The texts of documents that meet others are shuffled once, for their sets.
     sets = scratch.keep(_sets(rows.join(weights.select("row", "mark").hint("merge"), "mark"), words), "sets")
     scratch.drop([sized, weights])
@@ -382,6 +452,10 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
             break
         tested = fresh if tested is None else tested.union(fresh)
         rest = known.select(*members.columns).join(pivots.select("key", F.col("pivot").alias("row")), ["key", "row"], "left_anti")
+    scratch.drop([members, sets])
+    found = _left(rows, marked, named, groups, words, least, scratch)
+    if found.count():
+        groups = components(spark, links.union(found), scratch)
 
     whole = named.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("row", "k", F.coalesce("component", "first").alias("component"))
     whole = scratch.keep(whole, "whole")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tessera.llm import simhash
 
@@ -71,3 +72,54 @@ def test_stage(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, docs).collect()}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(got.values())
+
+
+def edited_texts():
+    """Pairs of texts that the threshold lies between, a group of many such around one text, and a line that all of them have."""
+    random.seed(11)
+    words, line = [f"v{i}" for i in range(3000)], "all of these texts have one line of a dozen words in their midst"
+    texts = []
+
+    def edited(base, edits):
+        own = list(base)
+        for at in random.sample(range(len(own)), edits):
+            own[at] = random.choice(words)
+        return " ".join(own[:30] + line.split() + own[30:])
+
+    for _ in range(150):
+        base = random.choices(words, k=random.randint(60, 300))
+        texts += [edited(base, 0), edited(base, max(1, len(base) // random.randint(38, 60)))]
+    base = random.choices(words, k=120)
+    return texts + [edited(base, random.randint(1, 3)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("frequent, sampled", [(2, 2), (10**9, 1)])
+def test_no_link_is_left_out(spark, monkeypatch, frequent, sampled):
+    """Groups are those of all pairs, whatever shingles are taken for frequent."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, docs).collect()}
+    want = plain_groups(texts)
+    assert 50 < len(texts) - len(set(want)) < len(texts) - 50
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_prefixes_and_parities_of_similar_sets():
+    rng = np.random.default_rng(3)
+    universe = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+    last = np.sort(rng.choice(universe, 150, replace=False))
+    rank = rng.permutation(len(last))
+    similar = 0
+    for _ in range(3000):
+        x = np.sort(rng.choice(universe, rng.integers(1, 60), replace=False))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.9], rng.choice(universe, rng.integers(0, 6)))))
+        shared = len(np.intersect1d(x, y))
+        odd = sum(int(i).bit_count() for i in (simhash.parities(x) ^ simhash.parities(y)).view(np.uint64))
+        assert odd <= len(x) + len(y) - 2 * shared
+        if 5 * shared >= 4 * (len(x) + len(y) - shared):
+            similar += 1
+            for order in ((last, rank), (last[:0], rank[:0])):
+                assert len(np.intersect1d(simhash.prefix(x, *order, 0.8), simhash.prefix(y, *order, 0.8)))
+    assert similar > 300
