@@ -28,7 +28,8 @@ thousandth to the links. All pairs of a key are never made: a group of near copi
 An exact step then finds every link that is left between components (``_left``), by prefix filtering. With shingles in any one order, two sets of that similarity share one
 among the first n - ceil(0.8 n) + 1 of each. Frequent shingles come last in the order; which are frequent is estimated from some of the texts, on which only the
 time depends. Documents of different components that share such a shingle are verified if their sizes and parities allow it: the parities are those of the numbers of shingles in 512
-buckets, of which no more can differ than the sets have shingles that aren't in both. No bound is put on how many share a shingle.
+buckets, of which no more can differ than the sets have shingles that aren't in both. No bound is put on how many share a shingle. The sets are cut into parts by hash, and
+the pairs' differences are counted part after part, so that a part of the sets is on disk at a time.
 
 Links go to distributed connected components. Nothing is collected.
 """
@@ -36,7 +37,6 @@ Links go to distributed connected components. Nothing is collected.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -210,7 +210,7 @@ MOST_BITS = 58
 STILL = 1000
 #: Shingles that come last in the order of prefixes: those found in at least so many of the texts of one in so many, and at most so many shingles.
 FREQUENT, SAMPLED, LAST = 8, 8, 1 << 17
-#: Parts that the last pairs are verified in.
+#: Parts, by their hashes, that the sets of the last pairs are cut into.
 PARTS = 8
 #: 64-bit numbers that hold the parities of a set.
 PARITIES = 8
@@ -323,16 +323,20 @@ def _marks(words: int, others: int, least: float, last: np.ndarray, rank: np.nda
     return of
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """``(row, set)`` of ``rows(row, text)``"""
+def _sets(rows: DataFrame, words: int, parts: int = 1) -> DataFrame:
+    """``(row, n, set0, set1 ...)`` of ``rows(row, text)``: the size of the set, and the set cut into ``parts`` by the first bits of the hashes."""
+    cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    names = [f"set{i}" for i in range(parts)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), _TOGETHER):
                 part = batch.slice(at, _TOGETHER)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t.as_py(), words) for t in part.column(1)])], ["row", "set"])
+                sets = [shingles(t.as_py(), words) for t in part.column(1)]
+                pieces = zip(*[np.split(s, np.searchsorted(s, cuts)) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), *[_lists(list(x)) for x in pieces]], ["row", "n", *names])
 
-    return rows.select("row", "text").mapInArrow(of, "row long, set array<long>")
+    return rows.select("row", "text").mapInArrow(of, ", ".join(["row long", "n int", *[f"{x} array<long>" for x in names]]))
 
 
 #: What of a text its keys' rows carry: the size of its set and its fingerprint.
@@ -346,46 +350,59 @@ def _close(least: float) -> Column:
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more."""
-    # Both sides of the joins are written tables, so that adaptive execution can split a row with very many pairs.
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return scratch.keep(both.where(shared * F.lit(1 + least) >= (F.size("x") + F.size("y")) * F.lit(least) - 1e-6).select("a", "b"), "similar")
+    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more.
 
-
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    A pair takes its sets through the shuffle, so the parts of the sets go one after the other, each on its part of the disk. A pair whose sets
+    differ in more hashes than sets of their sizes may is dropped with the part that shows it; the others go through all parts.
+    """
+    found = pairs.select("a", "b", F.lit(0).alias("differ"))
+    for part in [x for x in sets.columns if x.startswith("set")]:
+        # Both sides of the joins are written tables, so that adaptive execution can split a row with very many pairs.
+        x, y = (sets.select(F.col("row").alias(row), F.col("n").alias(size), F.col(part).alias(own)) for row, size, own in (("a", "m", "x"), ("b", "n", "y")))
+        both = found.join(x, "a").join(y, "b").withColumn("differ", F.col("differ") + F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y")))
+        within = F.col("differ") * F.lit(1 + least) <= (F.col("m") + F.col("n")) * F.lit(1 - least) + 2e-6
+        before, found = found, scratch.keep(both.where(within).select("a", "b", "differ"), "similar")
+        scratch.drop([before])
+    return found.select("a", "b")
+
+
+def _frequent(rows: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of frequent shingles and their places in the order by frequency. Any answer is right; a good one saves time."""
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.lit(0).cast("long").alias("row"), "text")
-    counts = _sets(some, words).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT)
+    counts = _sets(some, words).select(F.explode("set0").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT)
+    # Written, as what is collected from a shuffle keeps the shuffle's files.
+    counts = scratch.keep(counts, "frequent")
     most = counts.orderBy(F.desc("m"), "h").limit(LAST).select("h").collect()
+    scratch.drop([counts])
     hashes = np.array([r.h for r in most], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], len(hashes) - order
 
 
-def _left(rows: DataFrame, marked: DataFrame, named: DataFrame, groups: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
-    """All links ``(a, b)`` between rows of different ``groups``."""
+def _left(rows: DataFrame, marked: DataFrame, facts: DataFrame, named: DataFrame, groups: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """All links ``(a, b)`` between rows of different ``groups``. ``marked``, which has the prefixes, is deleted when they are read."""
     # Of equal sets only the first takes part. Both tables of each join grow with the input, so they are merged at every size.
     shared = marked.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     shared = scratch.keep(shared, "shared")
     firsts = marked.join(named.where("row = first").select("row").hint("merge"), "row", "left_semi").select("row", F.explode("prefix").alias("h"))
     met = scratch.keep(firsts.join(shared.hint("merge"), "h"), "met")
+    scratch.drop([marked])
     known = scratch.keep(met.join(groups.select(F.col("node").alias("row"), "component"), "row", "left").select("h", "row", F.coalesce("component", "row").alias("c")), "known")
     mixed = scratch.keep(known.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "mixed")
-    facts = ["n", *_PARITIES]
-    apart = scratch.keep(known.join(mixed, "h").join(marked.select("row", *facts), "row"), "apart")
+    told = ["n", *_PARITIES]
+    apart = scratch.keep(known.join(mixed, "h").join(facts.select("row", *told), "row"), "apart")
     scratch.drop([shared, met, known, mixed])
-    other = apart.select("h", F.col("row").alias("prow"), F.col("c").alias("pc"), *[F.col(f).alias(f"p{f}") for f in facts])
+    other = apart.select("h", F.col("row").alias("prow"), F.col("c").alias("pc"), *[F.col(f).alias(f"p{f}") for f in told])
     odd = sum((_apart(q, f"p{q}") for q in _PARITIES[1:]), _apart("q0", "pq0"))
     allowed = (odd * F.lit(1 + least) <= (F.col("n") + F.col("pn")) * F.lit(1 - least) + 1e-5) & (F.least("n", "pn") >= F.greatest("n", "pn") * F.lit(least) - 1e-6)
     pairs = apart.join(other, (apart.h == other.h) & (F.col("row") < F.col("prow")) & (F.col("c") != F.col("pc")) & allowed).select(F.col("row").alias("a"), F.col("prow").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    ids = scratch.keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(marked.select("row", "mark"), "row"), "ids")
-    sets = scratch.keep(_sets(rows.join(ids.hint("merge"), "mark"), words), "sets")
-    scratch.drop([apart, ids])
-    # A pair takes a whole set through the shuffle, so pairs are dealt into parts that are verified one after the other, each on a part of the disk.
-    dealt = F.pmod(F.xxhash64("a", "b"), F.lit(PARTS))
-    return reduce(DataFrame.union, [_verified(sets, pairs.where(dealt == i), least, scratch) for i in range(PARTS)])
+    ids = scratch.keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(facts.select("row", "mark"), "row"), "ids")
+    scratch.drop([apart])
+    sets = scratch.keep(_sets(rows.join(ids.hint("merge"), "mark"), words, PARTS), "sets")
+    found = _verified(sets, pairs, least, scratch)
+    scratch.drop([pairs, ids, sets])
+    return found
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
@@ -402,10 +419,12 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), *([F.col(mark)] if mark else []))
     rows = (rows if mark else rows_marked(spark, rows, own, scratch)).select("k", F.col(own).alias("mark"), "text")
     kinds = rows.select("k", "mark").schema
-    marks = rows.select("k", "mark", "text").mapInArrow(_marks(words, 2, least, *_frequent(rows, words)), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kinds], _MARKED]))
+    marks = rows.select("k", "mark", "text").mapInArrow(_marks(words, 2, least, *_frequent(rows, words, scratch)), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kinds], _MARKED]))
     marked = scratch.keep(marks.withColumn("row", F.monotonically_increasing_id()), "marked")
-    first = scratch.keep(marked.groupBy("same", "n").agg(F.min("row").alias("first")), "first")
-    named = scratch.keep(marked.select("row", "k", "same", "n").join(first, ["same", "n"]).select("row", "k", "first"), "named")
+    # Keys and prefixes take most of the disk, so what is needed without them stands by itself.
+    facts = scratch.keep(marked.drop("keys", "prefix"), "facts")
+    first = scratch.keep(facts.groupBy("same", "n").agg(F.min("row").alias("first")), "first")
+    named = scratch.keep(facts.select("row", "k", "same", "n").join(first, ["same", "n"]).select("row", "k", "first"), "named")
 
     # Keys of one row only are counted away; what is left goes by the first row with the same set, so that copies cost nothing further.
     keyed = marked.select("row", F.explode("keys").alias("key"))
@@ -418,7 +437,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     sized = scratch.keep(members.join(scratch.keep(sizes, "sizes"), "key"), "sized")
     scratch.drop([members])
     # A row that meets very many others lies in the midst of them, so it is the one to compare the others of its keys with.
-    weights = sized.groupBy("row").agg(F.sum("m").alias("weight")).join(marked.select("row", "mark", *_FACTS), "row")
+    weights = sized.groupBy("row").agg(F.sum("m").alias("weight")).join(facts.select("row", "mark", *_FACTS), "row")
     weights = scratch.keep(weights, "weights")
     # Of a triple's keys each row takes the one that most rows share.
     taken = sized.groupBy("row", F.shiftright("key", 36)).agg(F.max(F.struct("m", "key")).alias("x")).select("row", "x.key")
@@ -453,7 +472,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
         tested = fresh if tested is None else tested.union(fresh)
         rest = known.select(*members.columns).join(pivots.select("key", F.col("pivot").alias("row")), ["key", "row"], "left_anti")
     scratch.drop([members, sets])
-    found = _left(rows, marked, named, groups, words, least, scratch)
+    found = _left(rows, marked, facts, named, groups, words, least, scratch)
     if found.count():
         groups = components(spark, links.union(found), scratch)
 
@@ -463,7 +482,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     out = whole.join(scratch.keep(best, "best"), "component").select("row", F.col("k"), F.col("best.k").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
     if mark is None:
         return out.select(F.col("k").alias(key), "component_id", "kept")
-    return out.join(marked.select("row", "mark"), "row").select(F.col("k").alias(key), "component_id", "kept", F.col("mark").alias(mark))
+    return out.join(facts.select("row", "mark"), "row").select(F.col("k").alias(key), "component_id", "kept", F.col("mark").alias(mark))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates of the pipeline against the Jaccard similarity of all pairs."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -123,3 +124,45 @@ def test_prefixes_and_parities_of_similar_sets():
             for order in ((last, rank), (last[:0], rank[:0])):
                 assert len(np.intersect1d(simhash.prefix(x, *order, 0.8), simhash.prefix(y, *order, 0.8)))
     assert similar > 300
+
+
+def test_verified_by_parts(spark):
+    """Sets that are cut into parts give the pairs of whole sets, those on the threshold too, and each part is a part of the hashes."""
+    from tessera.llm.common import Scratch
+
+    random.seed(5)
+    base = [f"u{i}" for i in range(44)]  # 40 shingles
+    texts = ["", "a b", " ".join(base), " ".join(base[:36]), " ".join(base[:35]), " ".join(base[4:] + base[:2]), " ".join(base[6:] + ["x"])]
+    texts += [" ".join(base[: random.randint(20, 44)] + random.choices(base, k=random.randint(0, 8))) for _ in range(25)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    plain = [plain_set(t) for t in texts]
+    want = {(i, j) for i, j in pairs if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])}
+    assert (2, 3) in want and (2, 4) not in want and 20 < len(want) < len(pairs) - 20
+    for parts in (1, 3, 8):
+        scratch = Scratch(spark, "parts")
+        sets = scratch.keep(simhash._sets(rows, simhash.WORDS, parts), "sets")
+        got = sets.collect()
+        for r in got:
+            whole = simhash.shingles(texts[r.row]).view(np.int64).tolist()
+            assert r.n == len(whole) and [h for i in range(parts) for h in r[f"set{i}"]] == whole
+        if parts == 8:
+            assert max(sum(len(r[f"set{i}"]) for r in got) for i in range(parts)) < 0.3 * sum(r.n for r in got)
+        found = simhash._verified(sets, spark.createDataFrame(pairs, "a long, b long"), 0.8, scratch)
+        assert {(r.a, r.b) for r in found.collect()} == want
+
+
+def test_wide_tables_are_deleted(spark, monkeypatch):
+    """Keys, prefixes and sets, which take most of the disk, are gone when the groups are there."""
+    import pyarrow.parquet as pq
+
+    made, keep = [], simhash.Scratch.keep
+    monkeypatch.setattr(simhash.Scratch, "keep", lambda self, df, tag: made.append(keep(self, df, tag)) or made[-1])
+    docs = spark.createDataFrame(list(enumerate(edited_texts())), "doc_id long, text string")
+    assert simhash.similar_documents(spark, docs).count() == 360
+    columns = set()
+    for table in made:
+        for f in Path(table.scratch_path).rglob("*.parquet"):
+            columns |= set(pq.read_schema(f).names)
+    assert "component" in columns
+    assert not {x for x in columns if x in ("keys", "prefix") or x.startswith("set")}
